@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import cooccur, knn, mix, neardup, pack, split
+from marginalia.llm import cooccur, knn, langid, mix, neardup, pack, split
 from marginalia.llm.tokens import with_tokens
 
 
@@ -82,7 +82,23 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix_report(*mix.mix(sized, _table(spark, d, "mix_targets")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_groups, p6_found, p6_pieces, p7_found, p7_pairs, p7_counts, p8_containers, p8_fillings, p9_copies, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    found = langid.documents(docs, langid.fit(docs))
+    return found.where("wrong").select("doc_id", F.explode("languages").alias("lang"))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return langid.documents(docs, langid.fit(docs))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return langid.segments(docs, langid.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_groups, p6_found, p6_pieces, p7_found, p7_pairs, p7_counts, p8_containers, p8_fillings, p9_copies, p9_report, p10_found, p10_documents, p10_segments)}
 
 _NAMES = r"""
 WITH once AS (
