@@ -18,32 +18,39 @@ from pyspark.sql import functions as F
 from marginalia.session import materialize
 
 #: Vectors the index is fitted on at most, vectors of a list and of a region on average, lists a query probes at most.
-SAMPLE, LIST, REGION, PROBES = 40_000, 300, 10_000, 48
+SAMPLE, LIST, REGION, PROBES = 40_000, 300, 25_000, 32
+#: Candidates kept beyond k until the exact cosines are known, which are rounded to 12 places so that scaled copies tie.
+SPARE = 4
+#: Queries, and vectors, of a region that one task takes at most, about.
+CROWD = 60_000
 #: Significance of the abandon test: a true neighbour is dropped when its partial distance strays this far from its share.
-EPSILON = 2.1
+EPSILON, SIGMAS = 2.1, 3.0
 #: Columns after which a test is made.
 BLOCKS = (12, 28, 44, 64)
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """``id, v``: each key once (of different vectors of a key the least), only vectors of ``dims`` finite numbers that are
-    not all zero; a null key, null vector or null entry is unusable."""
+    """``id, v, h1, h2`` of the rows with a key and a vector of ``dims`` finite numbers that are not all zero; a null key,
+    null vector or null entry is unusable. ``h1, h2`` tell vectors apart without carrying them along."""
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = (F.size(v) == dims) & ~bad & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col(key).isNotNull() & v.isNotNull()).where(good)
-    return rows.groupBy(F.col(key).alias("id")).agg(F.min(v).alias("v"))
+    return rows.select(F.col(key).alias("id"), v.alias("v"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("second"), v).alias("h2"))
 
 
-def representatives(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(``rep, v, ids``: distinct vectors with their ``keep`` smallest ids, ``id, rep``: who is equal to whom).
+def representatives(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """(``id, h1, h2``: each key once, with the vector of least hash where it has several; ``rep, ids, h1, h2``: distinct
+    vectors with their ``keep`` smallest ids).
 
-    Ranks are limited before the shuffle, so a vector that a third of the rows share costs a few rows per task.
+    Only hashes travel, and ranks are limited before the shuffle, so a vector that a third of the rows share costs a few
+    rows per task.
     """
-    h = F.xxhash64("v")
-    small = vectors.withColumn("h", h).withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= keep)
-    reps = small.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
-    return reps.select("rep", "v", "ids", "h"), vectors.select("id", F.xxhash64("v").alias("h"), "v")
+    chosen = rows.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
+    members = materialize(chosen, "members")
+    ranked = members.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("r") <= keep)
+    reps = ranked.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "h1", "h2")
+    return members, materialize(reps, "reps")
 
 
 def _unit(v: pd.Series | list) -> np.ndarray:
@@ -103,11 +110,19 @@ class Index:
         return np.concatenate(rows), np.concatenate(lists).astype(np.int32), homes
 
 
-def fit_index(reps: DataFrame, n: int, sample: int = SAMPLE) -> Index:
-    """Fit on at most ``sample`` vectors, those of the smallest hashes; every vector is indexed afterwards."""
-    share = F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1_000_000))
-    chosen = reps.where(share <= int(min(1.0, 1.05 * sample / max(n, 1)) * 1_000_000)).select("v").limit(sample)
-    return Index(_unit(chosen.toPandas()["v"]), n)
+def fit_index(rows: DataFrame, n: int, reach: float, probes: int, sample: int = SAMPLE) -> Index:
+    """Fit on at most ``sample`` vectors, those of the smallest key hashes; every vector is indexed afterwards. The same
+    vectors tell how many rows each region will hold and how many queries it will get."""
+    share = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000))
+    chosen = rows.where(share <= int(min(1.0, 1.05 * sample / max(n, 1)) * 1_000_000)).select("v").limit(sample)
+    x = _unit(chosen.toPandas()["v"])
+    index = Index(x, n)
+    row, lists, home = index.probes(x.astype(np.float32) @ index.rotation, reach, probes)
+    regions = int(index.region.max()) + 1
+    asked = np.unique(np.stack([row, index.region[lists]]), axis=1)[1]
+    scale = 1.2 * n / len(x)
+    index.blocks = [np.maximum(1, np.ceil(np.bincount(c, minlength=regions) * scale / CROWD)).astype(int) for c in (asked, index.region[home])]
+    return index
 
 
 def _scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,59 +161,57 @@ def _best(i: np.ndarray, j: np.ndarray, d: np.ndarray, rank: np.ndarray, k: int)
     return order[at < k]
 
 
-def neighbours(reps: DataFrame, k: int, min_cosine: float | None, queries: Column | None = None, probes: int = PROBES) -> DataFrame:
-    """``rep, other, cosine``: up to ``k`` nearest other distinct vectors of each distinct vector (of those with ``queries``).
+def neighbours(reps: DataFrame, index: Index, k: int, min_cosine: float | None, asks: Column, probes: int = PROBES) -> DataFrame:
+    """``rep, other, cosine``: up to ``k`` nearest other vectors of each vector of ``reps(rep, v)`` for which ``asks`` holds.
 
-    With ``min_cosine`` only nearer ones count, and a list is probed only where the border to it lies within that
-    distance; without it the ``probes`` nearest lists are. ``reps`` has ``rep`` and ``v``.
+    With ``min_cosine`` only nearer ones count, and a list is probed only where the border to it may be crossed within
+    that distance (:func:`_limits`); without it the ``probes`` nearest lists are.
     """
-    n = reps.count()
-    if not n:
-        return reps.select("rep", F.col("rep").alias("other"), F.lit(0.0).alias("cosine"))
-    index = fit_index(reps, n)
-    radius = 2 - 2 * min_cosine if min_cosine is not None else 4.0
-    reach = float(np.sqrt(radius)) if min_cosine is not None else 9.0
+    radius, reach = _limits(min_cosine, len(index.rotation))
     kind = dict(reps.dtypes)["rep"]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row per (vector, region, block): the lists it probes there, and its home list if that lies there."""
         for pdf in batches:
             if not len(pdf):
                 continue
             x = _unit(pdf["v"]).astype(np.float32) @ index.rotation
             row, lists, home = index.probes(x, reach, probes)
-            raw = np.frombuffer(np.ascontiguousarray(x).tobytes(), dtype=f"V{x.shape[1] * 4}")
-            rep = pdf["rep"].to_numpy()
-            asks = pdf["q"].to_numpy()
-            # one row per (vector, region): the lists it probes there, and its home list if that lies there
-            keep = asks[row]
+            # the vectors travel as they were given: 32-bit floats stay exact, and the task rotates them again
+            raw = [np.asarray(v, dtype=np.float32).tobytes() for v in pdf["v"]]
+            rep, ask, salt = pdf["rep"].to_numpy(), pdf["q"].to_numpy(), pdf["s"].to_numpy()
+            keep = ask[row]
             row, lists = row[keep], lists[keep]
+            order = np.lexsort((index.region[lists], row))
+            row, lists = row[order], lists[order]
             region = index.region[lists]
-            order = np.lexsort((region, row))
-            row, lists, region = row[order], lists[order], region[order]
             start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (region[1:] != region[:-1])]) if len(row) else np.zeros(0, int)
-            groups = np.split(lists, start[1:]) if len(row) else []
-            r, g = row[start], region[start]
-            here = index.region[home[r]] == g
-            out = [(g[t], rep[i], raw[i].tobytes(), groups[t], home[i] if here[t] else -1) for t, i in enumerate(r)]
-            for i in np.flatnonzero(~asks):
-                out.append((index.region[home[i]], rep[i], raw[i].tobytes(), np.zeros(0, np.int32), home[i]))
-            yield pd.DataFrame(out, columns=["region", "rep", "x", "lists", "home"])
-
-    asks = (queries if queries is not None else F.lit(True)).alias("q")
-    placed = materialize(reps.select("rep", "v", asks).mapInPandas(place, f"region int, rep {kind}, x binary, lists array<int>, home int"), "placed")
-    # a crowded region is cut into blocks of queries; each block meets all of the region's vectors, themselves in blocks
-    load = {r["region"]: (r["n"], r["m"]) for r in placed.groupBy("region").agg(F.sum((F.size("lists") > 0).cast("int")).alias("n"), F.sum((F.col("home") >= 0).cast("int")).alias("m")).collect()}
-    cuts = {g: (max(1, -(-a // (4 * REGION))), max(1, -(-b // (4 * REGION)))) for g, (a, b) in load.items()}
-    table = reps.sparkSession.createDataFrame([(int(g), *c) for g, c in cuts.items()], "region int, qs int, xs int")
-    wide = placed.join(F.broadcast(table), "region")  # one row per region, at most a tenth of the lists
-    single = wide.where("qs = 1 and xs = 1").select("region", "rep", "x", "lists", "home", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    crowded = wide.where("qs > 1 or xs > 1")
-    block_q = crowded.where(F.size("lists") > 0).select("region", "rep", "x", "lists", F.lit(-1).alias("home"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("qs")).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("xs").cast("bigint") - 1)).alias("b"))
-    block_x = crowded.where("home >= 0").select("region", "rep", "x", F.array().cast("array<int>").alias("lists"), "home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qs").cast("bigint") - 1)).alias("a"), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("xs")).alias("b"))
-    tasks = single.unionByName(block_q).unionByName(block_x)
+            none = np.zeros(0, np.int32)
+            asked = {(row[t], region[t]): part for t, part in zip(start, np.split(lists, start[1:]), strict=True)} if len(row) else {}
+            for i in range(len(rep)):
+                asked.setdefault((i, index.region[home[i]]), none)
+            out = []
+            for (i, g), probed in asked.items():
+                qs, xs = index.blocks[0][g], index.blocks[1][g]
+                lives = home[i] if index.region[home[i]] == g else -1
+                if qs == xs == 1:
+                    out.append((g, 0, 0, rep[i], raw[i], probed, lives))
+                    continue
+                if len(probed):
+                    out.extend((g, salt[i] % qs, b, rep[i], raw[i], probed, -1) for b in range(xs))
+                if lives >= 0:
+                    out.extend((g, a, salt[i] // 1024 % xs, rep[i], raw[i], none, lives) for a in range(qs))
+            yield pd.DataFrame(out, columns=["region", "a", "b", "rep", "x", "lists", "home"])
+
+    salt = F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(1 << 30))
+    source = reps.select("rep", "v", asks.alias("q"), salt.alias("s"))
+    tasks = source.mapInPandas(place, f"region int, a int, b int, rep {kind}, x binary, lists array<int>, home int")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["x"]), dtype=np.float32).reshape(len(pdf), -1)
+        given = np.frombuffer(b"".join(pdf["x"]), dtype=np.float32).reshape(len(pdf), -1).astype(np.float64)
+        given /= np.abs(given).max(1, keepdims=True)
+        given /= np.sqrt((given * given).sum(1, keepdims=True))
+        x = given.astype(np.float32) @ index.rotation
         rep = pdf["rep"].to_numpy()
         home = pdf["home"].to_numpy()
         counts = pdf["lists"].map(len).to_numpy()
@@ -224,21 +237,22 @@ def neighbours(reps: DataFrame, k: int, min_cosine: float | None, queries: Colum
                         i, j, d = _scan(x[part], x[piece], bound[part], k, (rep[part], rep[piece]))
                         if not len(i):
                             continue
-                        best = _best(i, j, d, rep[piece[j]], k)
+                        best = _best(i, j, d, rep[piece[j]], k + SPARE)
                         i, j, d = i[best], j[best], d[best]
                         hits.append((part[i], piece[j], d))
-                        full = np.bincount(i, minlength=len(part)) >= k
+                        full = np.bincount(i, minlength=len(part)) >= k + SPARE
                         if full.any():
                             far = np.zeros(len(part), np.float32)
                             np.maximum.at(far, i, d)
-                            bound[part[full]] = np.minimum(bound[part[full]], far[full])
+                            bound[part[full]] = np.minimum(bound[part[full]], far[full] + 1e-6)
         if not hits:
             return pd.DataFrame({"rep": rep[:0], "other": rep[:0], "cosine": np.zeros(0)})
         i, j, d = (np.concatenate(h) for h in zip(*hits, strict=True))
-        best = _best(i, j, d, rep[j], k)
+        best = _best(i, j, d, rep[j], k + SPARE)
         i, j = i[best], j[best]
-        p, o = x[i].astype(np.float64), x[j].astype(np.float64)
-        cosine = np.einsum("ij,ij->i", p, o) / np.sqrt(np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", o, o))
+        cosine = np.round(np.einsum("ij,ij->i", given[i], given[j]), 12)
+        best = _best(i, j, -cosine, rep[j], k)
+        i, j, cosine = i[best], j[best], cosine[best]
         return pd.DataFrame({"rep": rep[i], "other": rep[j], "cosine": cosine})
 
     found = tasks.groupBy("region", "a", "b").applyInPandas(search, f"rep {kind}, other {kind}, cosine double")
@@ -247,18 +261,32 @@ def neighbours(reps: DataFrame, k: int, min_cosine: float | None, queries: Colum
     return best if min_cosine is None else best.where(F.col("cosine") >= min_cosine)
 
 
+def _limits(min_cosine: float | None, dims: int) -> tuple[float, float]:
+    """(largest squared distance, furthest list border) of unit vectors that still count.
+
+    The part of a step of length r that points at a border has a deviation of ``r / sqrt(dims)``; a border further than
+    :data:`SIGMAS` of them is not crossed, by the same kind of test that abandons candidates.
+    """
+    return (2 - 2 * min_cosine, float(SIGMAS * np.sqrt((2 - 2 * min_cosine) / dims))) if min_cosine is not None else (4.0, 9.0)
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, k: int, dims: int = 64, min_cosine: float | None = None, every: int = 1, probes: int = PROBES) -> DataFrame:
     """``id, neighbour, cosine``: the ``k`` most similar other ids of every id (or of those divisible by ``every``).
 
     Greater cosine first, then the smaller id. Equal vectors are searched once: their ids are each other's nearest, and
     stand for one another in other results. Unusable vectors (see :func:`usable`) take no part; other columns are ignored.
     """
-    base = materialize(usable(vectors, key, vector, dims), "vectors")
-    small, members = representatives(base, k + 1)
-    reps = materialize(small, "reps")
-    asks = members.where(F.col("id") % every == 0)
-    of = asks.join(reps.select("h", "v", "rep", "ids"), ["h", "v"]).select("id", "rep", F.col("ids").alias("own"))
-    found = neighbours(reps, k, min_cosine, None, probes)
+    rows = usable(vectors, key, vector, dims)
+    members, reps = representatives(rows, k + 1)
+    asking = members.where(F.col("id") % every == 0)
+    of = asking.join(reps, ["h1", "h2"]).select("id", "rep", F.col("ids").alias("own"))
+    n = reps.count()
+    if not n:
+        return of.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"))
+    index = fit_index(rows, members.count(), _limits(min_cosine, dims)[1], probes)
+    asked = reps.select("rep", "h1", "h2", F.lit(True).alias("asked")) if every == 1 else reps.join(asking.select("h1", "h2").distinct().withColumn("y", F.lit(True)), ["h1", "h2"], "left").select("rep", "h1", "h2", F.coalesce("y", F.lit(False)).alias("asked"))
+    distinct = rows.join(asked.withColumnRenamed("rep", "id"), ["id", "h1", "h2"]).groupBy(F.col("id").alias("rep"), "asked").agg(F.min("v").alias("v"))
+    found = materialize(neighbours(distinct, index, k, min_cosine, F.col("asked"), probes), "found")
     with_ids = found.join(reps.select(F.col("rep").alias("other"), "ids"), "other")
     one = F.transform(F.slice("ids", 1, k), lambda i: F.struct((-F.col("cosine")).alias("far"), i.alias("i")))
     near = with_ids.groupBy("rep").agg(F.slice(F.sort_array(F.flatten(F.collect_list(one))), 1, k).alias("near"))
