@@ -79,13 +79,13 @@ def fit_null(degrees: np.ndarray, items: np.ndarray, sizes: np.ndarray, n_basket
 def log10_tail(count: np.ndarray, q: np.ndarray, n_baskets: np.ndarray) -> np.ndarray:
     """log10 of P(X >= count) for sums of binomials: X = sum over k of Bin(n_baskets[k], q[:, k]).
 
-    Counts up to 60 with all q below one half are summed exactly from the generating function, from the count upwards,
+    Counts up to 60 with all q below a tenth are summed exactly from the generating function, from the count upwards,
     so small tails keep their precision; the rest use the saddlepoint approximation of Lugannani and Rice.
     """
     q = np.clip(q, 1e-300, 1 - 1e-12)
     out = np.zeros(len(count))
     mean = q @ n_baskets
-    exact = (count <= 60) & (q.max(1) < 0.5) & (mean < 200)
+    exact = (count <= 60) & (q.max(1) < 0.1) & (mean < 200)
     if exact.any():
         r = q[exact] / (1 - q[exact])
         c, top = count[exact], int(count[exact].max())

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 #: Levels of the tree below the headings, as reported in ``cut``; 9 is a cut inside an unbroken run of characters.
 HEADING, PARAGRAPH, LINE, SENTENCE, WORD, FORCED = 1, 5, 6, 7, 8, 9
+_STOP = re.compile(r"[。！？；]")
 _HEADING = re.compile(r"^(#{1,6})[ \t]", re.M)
 _ENDS = {
     PARAGRAPH: re.compile(r"\r?\n[ \t]*\r?\n\s*"),
     LINE: re.compile(r"\r?\n"),
-    SENTENCE: re.compile(r"[.!?…]+[\"'”’»)\]]*[ \t\r\n]+|[。！？]+"),
+    SENTENCE: re.compile(r"[.!?…。！？]+[\"'”’»)\]]*[ \t\r\n]+"),
     WORD: re.compile(r"[ \t\r\n]+"),
 }
 
@@ -49,12 +50,17 @@ def _pack(text: str, lo: int, hi: int, level: int, soft: int, hard: int, out: li
     """Append the spans of ``[lo, hi)``, each with the level at which it ends. ``soft`` leaves room for the overlap; a
     node of up to ``hard`` that cannot be merged stays whole."""
     if hi - lo <= hard and (hi - lo <= soft or level > HEADING):
-        out.append((lo, hi, level))
+        out.append((lo, hi, min(level, WORD)))
         return
     if level == FORCED:
         blank = text[lo:hi].isspace() and not text[lo:hi].strip(" \t\r\n")
-        step = soft or hard
-        out.extend((p, min(p + step, hi), WORD if blank else FORCED) for p in range(lo, hi, step))
+        while lo < hi:
+            end = min(lo + soft, hi)
+            if not blank and end < hi:  # a script without blanks still ends its sentences
+                stops = [m.end() for m in _STOP.finditer(text, lo + soft // 2, end)]
+                end = stops[-1] if stops else end
+            out.append((lo, end, WORD if blank else FORCED))
+            lo = end
         return
     kids = _children(text, lo, hi, level)
     below = level if level < PARAGRAPH and len(kids) > 1 else max(level + 1, PARAGRAPH)
