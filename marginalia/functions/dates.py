@@ -14,7 +14,8 @@ def _pad(x: Column) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, _pad(month), _pad(day)).try_cast("date")
+    # concat, unlike concat_ws, is null where the month is unknown
+    return F.concat(year, F.lit("-"), _pad(month), F.lit("-"), _pad(day)).try_cast("date")
 
 
 def _month_number(word: Column) -> Column:

@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters without width, colon look-alikes, and letters of other scripts that look Latin.
 ZERO_WIDTH = "​‌‍⁠﻿­͏"
@@ -31,6 +32,6 @@ def fold_text(text: str | None) -> str | None:
     return bare.translate(_TABLE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
     return text.map(fold_text, na_action="ignore")
