@@ -57,7 +57,8 @@ def as_of(events: DataFrame, intervals: DataFrame, key: str, rank: list[str], pa
     blocks = intervals.select(key, *{*rank, *payload}, F.explode(interval_nodes(F.col("start"), F.col("end"))).alias("n")).select("*", "n.level", "n.block")
     best = F.max(F.struct(*rank, *[c for c in payload if c not in rank])).alias("best")
     reduced = blocks.groupBy(key, "level", "block", F.col(rank[0]).alias("__r")).agg(best)
-    held = spots.join(reduced, [key, "level", "block"]).where(F.col("__r") <= F.col("day"))
+    # sizes are estimated before the explosion into blocks: never let that estimate choose a broadcast
+    held = spots.hint("merge").join(reduced, [key, "level", "block"]).where(F.col("__r") <= F.col("day"))
     chosen = held.groupBy(key, "day").agg(F.max("best").alias("best"))
     return chosen.select(key, "day", *[F.col("best")[c].alias(c) for c in payload])
 
