@@ -87,7 +87,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     return ranks.select("name", F.col("x").alias("rank"))
 
 
-def spectral(nodes: DataFrame, edges: DataFrame, dims: int = 16, exact_nodes: int = 2_000, rounds: int = 60, seed: int = 1) -> DataFrame:
+def spectral(nodes: DataFrame, edges: DataFrame, dims: int = 16, exact_nodes: int = 2_000, rounds: int = 30, seed: int = 1) -> DataFrame:
     """``name, spectral``: eigenvectors 1 to ``dims`` of the undirected graph's normalised Laplacian.
 
     Signs are fixed by the largest component, values rounded to 6 places, missing dimensions 0. Up to ``exact_nodes``

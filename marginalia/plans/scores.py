@@ -24,8 +24,11 @@ def keyword_hits(probes: DataFrame, notes: DataFrame, k: int = 8) -> DataFrame:
     held = notes.select("name", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
     wanted = asked.select("word").distinct()
     text_points = held.join(wanted, "word").groupBy("word", "name").agg(F.lit(1.0).alias("p"))
-    parts = notes.select("name").distinct()
-    name_points = parts.join(wanted, F.lower(parts["name"]).contains(wanted["word"])).select("word", "name", F.lit(0.5).alias("p"))
+    # a word is part of a name if it is a substring of one of its runs; the substrings of a name are few, and join on equality
+    runs = F.regexp_extract_all(F.lower("name"), F.lit("([a-z0-9]{3,})"), F.lit(1))
+    inner = F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(3), F.length(r)), lambda n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, n)))))
+    parts = notes.select("name").distinct().select("name", F.explode(F.array_distinct(F.flatten(inner))).alias("word"))
+    name_points = parts.join(wanted, "word").select("word", "name", F.lit(0.5).alias("p"))
     points = asked.join(text_points.unionByName(name_points), "word").groupBy("id", "name").agg(F.sum("p").alias("score"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "name")
     return points.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

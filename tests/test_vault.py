@@ -202,3 +202,15 @@ def test_lane_file(tmp_path):
     path.write_text(json.dumps({"default_lane": "c", "lanes": {"a": {}}}))
     with pytest.raises(ValueError):
         stores.lane_rules(str(path))
+
+
+def test_tools(spark, vault):
+    from marginalia.tools import tools
+
+    assert sorted(tools(spark, vault, readonly=True)) == ["hydrate", "recall", "view"]
+    table = tools(spark, vault, readonly=False, write_gate=True)
+    text = "---\ntype: project\nstatus: broken\n---\nthe new pier stands near the harbor\n"
+    assert "advice: UPDATE entities/entity-Pier-v2.md (entities/entity-Pier-v2.md on status" in table["create"]("entities/entity-Pier-v9.md", text)
+    assert "keeps the harbor" in table["hydrate"]("Harbor") and table["delete"]("entities/entity-Pier-v9.md")
+    with pytest.raises(VaultPathError):
+        table["create"]("../out.md", "x")
