@@ -110,9 +110,9 @@ class Index:
         return np.concatenate(rows), np.concatenate(lists).astype(np.int32), homes
 
 
-def fit_index(rows: DataFrame, n: int, reach: float, probes: int, sample: int = SAMPLE) -> Index:
+def fit_index(rows: DataFrame, n: int, asking: int, reach: float, probes: int, sample: int = SAMPLE) -> Index:
     """Fit on at most ``sample`` vectors, those of the smallest key hashes; every vector is indexed afterwards. The same
-    vectors tell how many rows each region will hold and how many queries it will get."""
+    vectors tell how many rows each region will hold and how many of ``asking`` queries it will get."""
     share = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000))
     chosen = rows.where(share <= int(min(1.0, 1.05 * sample / max(n, 1)) * 1_000_000)).select("v").limit(sample)
     x = _unit(chosen.toPandas()["v"])
@@ -120,8 +120,8 @@ def fit_index(rows: DataFrame, n: int, reach: float, probes: int, sample: int =
     row, lists, home = index.probes(x.astype(np.float32) @ index.rotation, reach, probes)
     regions = int(index.region.max()) + 1
     asked = np.unique(np.stack([row, index.region[lists]]), axis=1)[1]
-    scale = 1.2 * n / len(x)
-    index.blocks = [np.maximum(1, np.ceil(np.bincount(c, minlength=regions) * scale / CROWD)).astype(int) for c in (asked, index.region[home])]
+    expected = ((asked, asking), (index.region[home], n))
+    index.blocks = [np.maximum(1, np.ceil(np.bincount(c, minlength=regions) * 1.2 * total / len(x) / CROWD)).astype(int) for c, total in expected]
     return index
 
 
@@ -283,7 +283,8 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, dims: int = 64, m
     n = reps.count()
     if not n:
         return of.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"))
-    index = fit_index(rows, members.count(), _limits(min_cosine, dims)[1], probes)
+    total = members.count()
+    index = fit_index(rows, total, total if every == 1 else asking.count(), _limits(min_cosine, dims)[1], probes)
     asked = reps.select("rep", "h1", "h2", F.lit(True).alias("asked")) if every == 1 else reps.join(asking.select("h1", "h2").distinct().withColumn("y", F.lit(True)), ["h1", "h2"], "left").select("rep", "h1", "h2", F.coalesce("y", F.lit(False)).alias("asked"))
     distinct = rows.join(asked.withColumnRenamed("rep", "id"), ["id", "h1", "h2"]).groupBy(F.col("id").alias("rep"), "asked").agg(F.min("v").alias("v"))
     found = materialize(neighbours(distinct, index, k, min_cosine, F.col("asked"), probes), "found")
