@@ -12,7 +12,7 @@ from marginalia.plans import consolidate, doctor, gate, migrate, recall, scores
 from marginalia.queries.general import _TARGET, _day
 from marginalia.queries.tables import table
 from marginalia.queries.vault import RULES, TODAY, WINDOW
-from marginalia.queries.vault_sql import LANES, LINK, LINKS, LIVE, SEEN, _in
+from marginalia.queries.vault_sql import LINKS, LIVE, SEEN, _in
 
 _EVERYTHING = ["rel_path", "name", "metadata", "content", "raw_text", "touches", "valid_from", "valid_until", "superseded_by", "date"]
 MIGRATION = [

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from marginalia.functions.text import BUCKETS, NAME_STOP_WORDS, STOP_WORDS, VOLATILE_KEYS
+from marginalia.functions.text import NAME_STOP_WORDS, STOP_WORDS, VOLATILE_KEYS
 from marginalia.queries.general import _TARGET, _day
 
 LINK = r"\[\[([^\]|#]+?)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
-TRIMMED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
 def _in(words: list[str]) -> str:
@@ -123,7 +122,6 @@ old AS (SELECT rel_path, substr(sha256(coalesce(raw_text, '')), 1, 16) AS h FROM
 diff AS (SELECT coalesce(o.rel_path, n.rel_path) AS rel_path, CASE WHEN o.rel_path IS NULL THEN 'added' WHEN n.rel_path IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' END AS change
   FROM old o FULL JOIN new n ON o.rel_path = n.rel_path)
 """
-_BUCKET_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(line), '{'|'.join(w)}') THEN '{b}'" for b, w in BUCKETS.items()) + " ELSE 'other' END"
 
 SQL = {
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents",
