@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import materialize, release
+from marginalia.session import materialize, materialize_with, release
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -39,12 +39,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
             .agg(F.min("m").alias("m"))
         )
         step = grand.join(wish, "node", "left").select("node", F.least("f", F.coalesce("m", "f")).alias("f"), (F.coalesce("m", "f") < F.col("f")).alias("moved"))
-        step = materialize(step, "labels")
-        moved = step.where("moved").limit(1).count()
+        step, sums = materialize_with(step, "labels", moved=F.count_if("moved"))
         release(grand)
         release(labels)
         labels = step
-        if not moved:
+        if not sums["moved"]:
             break
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")

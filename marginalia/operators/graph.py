@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.links import wikilinks
 from marginalia.operators.vault_state import by_name
-from marginalia.session import materialize, release
+from marginalia.session import materialize, materialize_with, release
 
 
 def link_pairs(notes: DataFrame) -> DataFrame:
@@ -74,10 +74,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
             (F.lit(alpha) * (F.coalesce("inflow", F.lit(0.0)) + F.lit(dangling) * F.col("p")) + F.lit(1 - alpha) * F.col("p")).alias("x"),
             F.col("x").alias("old"),
         )
-        step = materialize(step, "ranks")
+        step, sums = materialize_with(step, "ranks", err=F.sum(F.abs(F.col("x") - F.col("old"))), lost=F.sum(F.when(F.col("deg") == 0, F.col("x")).otherwise(0.0)))
         if i:
             release(ranks)
-        err, dangling = step.agg(F.sum(F.abs(F.col("x") - F.col("old"))), F.sum(F.when(F.col("deg") == 0, F.col("x")).otherwise(0.0))).first()
+        err, dangling = sums["err"], sums["lost"]
         ranks = step
         if iterations is None and err < n * tol:
             break

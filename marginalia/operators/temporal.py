@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.dates import written_day
 from marginalia.functions.links import link_target
-from marginalia.session import materialize, release
+from marginalia.session import materialize, materialize_with, release
 
 #: The kinds of notes that describe an entity.
 ENTITY_KINDS = ["entity", "project", "person", "stakeholder", "research-project", "agent"]
@@ -37,11 +37,12 @@ def resolve(notes: DataFrame, starts: DataFrame, as_of: Column | None = None, ma
         chain = F.when(exists & F.col("late"), F.col("chain")).otherwise(F.concat("chain", F.array("at")))
         current = F.when(stopped, F.col("current")).otherwise(F.col("at"))
         go = ~stopped & F.col("next").isNotNull() & ~F.array_contains(chain, F.coalesce("next", F.lit("")))
-        moved = materialize(joined.select("start", F.coalesce("next", "at").alias("at"), current.alias("current"), chain.alias("chain"), go.alias("go")), "walk")
+        stepped = joined.select("start", F.coalesce("next", "at").alias("at"), current.alias("current"), chain.alias("chain"), go.alias("go"))
+        moved, sums = materialize_with(stepped, "walk", going=F.count_if("go"))
         ended = moved.where("not go").select("start", "current", "chain")
         done = ended if done is None else done.unionByName(ended)
         walk = moved.where("go").select("start", "at", "current", "chain")
-        if not walk.limit(1).count():
+        if not sums["going"]:
             return done.select("start", "current", "chain", F.greatest(F.size("chain") - 1, F.lit(0)).alias("hops"))
     release(step)
     raise RuntimeError(f"chains longer than {max_hops}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -58,6 +58,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def materialize_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and aggregates of the written rows gathered by the same job."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get
+
+
 def release(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize`; call it only when nothing lazy reads it any more."""
     path = getattr(df, "_marginalia_path", None)
