@@ -2,14 +2,18 @@
 
 Periodic snapshots of a change log are hashed into key buckets (the leaves) and a tree of fixed fan-out above them. Two
 neighbouring snapshots are compared from the root down; only the children of branches that differ are looked at, and
-only the rows of differing leaf buckets are read for the row diff, whose changes are appended as new versions.
+only the rows of differing leaf buckets are read for the row diff, whose changes are appended as new versions. For every
+change (:func:`merkle_changes`) a cut is compared by all rows seen since the cut before, so that one undone before the next
+cut still makes its leaf differ.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.state import latest
@@ -19,21 +23,31 @@ from marginalia.session import materialize
 FANOUT, DEPTH = 16, 3
 
 
+def _calendar(log: DataFrame, seen: str) -> Row:
+    """The first month (``lo``) and the last day (``hi``) of the log; nulls without any time."""
+    return log.agg(F.trunc(F.min(seen), "month").alias("lo"), F.max(F.to_date(seen)).alias("hi")).first()
+
+
+def _cut(seen: str, lo: date, months: int) -> Column:
+    """The number of the first cut after a row."""
+    day = F.to_date(F.col(seen))
+    elapsed = (F.year(day) - lo.year) * 12 + F.month(day) - lo.month
+    return (F.floor(elapsed / months) + 1).cast("int")
+
+
 def snapshots(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, months: int) -> DataFrame:
     """``cut_id, cut, keys..., columns..., seen``: the state of every key at each cut.
 
     States are combined per key and period before they shuffle; the window that carries a state on to later cuts sees
     at most one row per key and cut, so a hot key is bounded by the calendar.
     """
-    first = log.agg(F.trunc(F.min(seen), "month").alias("lo"), F.max(F.to_date(seen)).alias("hi")).first()
-    if first is None or first["lo"] is None:
+    first = _calendar(log, seen)
+    if first["lo"] is None:
         empty = log.limit(0).select(F.lit(0).alias("cut_id"), F.current_date().alias("cut"), *keys, *columns, seen)
         return empty
     lo, hi = first["lo"], first["hi"]
     n_cuts = ((hi.year - lo.year) * 12 + hi.month - lo.month) // months + 1
-    day = F.to_date(F.col(seen))
-    elapsed = (F.year(day) - lo.year) * 12 + F.month(day) - lo.month
-    binned = log.withColumn("__cut", (F.floor(elapsed / months) + 1).cast("int"))
+    binned = log.withColumn("__cut", _cut(seen, lo, months))
     states = latest(binned.where(F.col(seen).isNotNull()), [*keys, "__cut"], seen, columns)
     until = F.lead("__cut").over(Window.partitionBy(*keys).orderBy("__cut"))
     spread = states.withColumn("__until", F.coalesce(until - 1, F.lit(n_cuts)))
@@ -63,12 +77,13 @@ def merkle_tree(leaves: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def changed_leaves(levels: Sequence[DataFrame], last_cut: int) -> DataFrame:
-    """``cut_id, node``: leaf buckets that differ from the cut before, found by descending differing branches only."""
+def changed_leaves(levels: Sequence[DataFrame], last_cut: int, states: Sequence[DataFrame] | None = None) -> DataFrame:
+    """``cut_id, node``: leaf buckets that differ from the cut before (from its tree in ``states``, where that is another),
+    found by descending differing branches only."""
     differ, branch = None, None
-    for level in levels:
+    for level, state in zip(levels, states or levels, strict=True):
         now = level.select("cut_id", "node", F.col("h").alias("h1"))
-        before = level.where(F.col("cut_id") < last_cut).select((F.col("cut_id") + 1).alias("cut_id"), "node", F.col("h").alias("h0"))
+        before = state.where(F.col("cut_id") < last_cut).select((F.col("cut_id") + 1).alias("cut_id"), "node", F.col("h").alias("h0"))
         if branch is not None:
             up = F.floor(F.col("node") / FANOUT).cast("int")
             now, before = (t.withColumn("up", up).join(branch, ["cut_id", "up"], "left_semi").drop("up") for t in (now, before))
@@ -78,7 +93,8 @@ def changed_leaves(levels: Sequence[DataFrame], last_cut: int) -> DataFrame:
 
 
 def merkle_history(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, months: int = 6) -> DataFrame:
-    """Every version of every key across periodic snapshots: ``keys, columns, seen, valid_from_cut, valid_to_cut, open``.
+    """Every key's versions at periodic snapshots: ``keys, columns, seen, valid_from_cut, valid_to_cut, open``. Versions that
+    no cut meets are not among them; :func:`merkle_changes` has every change.
 
     A version starts at the cut where its row first differs from the cut before and ends at the cut where it next does
     (null and ``open`` true for the last). Keys that vanish end their version. The last cut lies after the last row, so
@@ -103,3 +119,47 @@ def merkle_history(log: DataFrame, keys: Sequence[str], columns: Sequence[str],
         F.add_months("__new.cut", step * months).alias("valid_to_cut"),
         F.col("__next").isNull().alias("open"),
     )
+
+
+def merkle_changes(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, months: int = 6) -> DataFrame:
+    """Every version of every key, however short: ``keys, columns, seen, until, open``.
+
+    A version starts at the ``seen`` of the first row that differs from the key's row before and ends at that of the next
+    one that does (``until`` null and ``open`` true for the last). Rows that repeat the state before start none. Of rows of
+    one key and time the one that :func:`latest` takes counts; rows with a null time are left out; nulls in attributes
+    are values.
+
+    A leaf of a cut combines its states and all rows since the cut before; it is compared with the states of the cut before.
+    Only rows of leaves that differ are ordered. No window sees more than one key's rows between two cuts, or its cuts.
+    """
+    lo = _calendar(log, seen)["lo"]
+    if lo is None:
+        return log.limit(0).select(*keys, *columns, seen, F.col(seen).alias("until"), F.lit(True).alias("open"))
+    cols = [*columns, "__nulls"]  # hashes skip nulls, so where they stand is hashed too
+    rows = log.where(F.col(seen).isNotNull()).withColumn("__nulls", F.array(*[F.col(c).isNull() for c in columns]))
+    snaps = materialize(snapshots(rows, keys, cols, seen, months).withColumn("__leaf", _leaf(keys)), "snapshots")
+    timed = rows.withColumn("cut_id", _cut(seen, lo, months)).withColumn("__at", F.col(seen))
+    events = materialize(latest(timed, [*keys, "cut_id", "__at"], seen, cols).drop("__at").withColumn("__leaf", _leaf(keys)), "events")
+    last_cut = snaps.agg(F.max("cut_id")).first()[0]
+    met = snaps.select("cut_id", *keys, *cols).unionByName(events.select("cut_id", *keys, *cols)).distinct()
+    levels, states = (merkle_tree(materialize(merkle_leaves(t, keys, cols), "leaves")) for t in (met, snaps))
+    changed = materialize(changed_leaves(levels, last_cut, states).withColumnRenamed("node", "__leaf"), "changed")
+
+    row = F.struct(*columns).alias("__row")
+    opening = snaps.where(F.col("cut_id") < last_cut).withColumn("cut_id", F.col("cut_id") + 1).withColumn(seen, F.lit(None).cast(rows.schema[seen].dataType))
+    inside = [t.join(changed, ["cut_id", "__leaf"], "left_semi").select("cut_id", *keys, seen, row) for t in (opening, events)]
+    w = Window.partitionBy(*keys, "cut_id").orderBy(F.col(seen).asc_nulls_first())
+    stepped = inside[0].unionByName(inside[1]).withColumn("__old", F.lag("__row").over(w))
+    new = stepped.where(F.col(seen).isNotNull() & ~F.col("__old").eqNullSafe(F.col("__row"))).drop("__old")
+    changes = materialize(new.withColumn("__next", F.lead(seen).over(w)), "changes")
+    first = changes.groupBy(*keys, "cut_id").agg(F.min(seen).alias("__first"))
+    later = first.withColumn("__later", F.lead("__first").over(Window.partitionBy(*keys).orderBy("cut_id")))
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*keys, "cut_id"]])
+    until = F.coalesce(F.col("c.__next"), F.col("l.__later"))
+    return changes.alias("c").join(later.alias("l"), same).select(
+        *[F.col(f"c.{k}").alias(k) for k in keys],
+        *[F.col("c.__row")[c].alias(c) for c in columns],
+        F.col(f"c.{seen}").alias(seen),
+        until.alias("until"),
+        until.isNull().alias("open"),
+    )

@@ -87,6 +87,39 @@ def test_changed_leaves_are_few(spark):
     assert changed.where("cut_id = 2").count() == 0 and changed.where("cut_id = 3").count() == 1
 
 
+def test_every_change_comes_out_between_cuts(spark):
+    rows = [
+        (1, "a", None, "2025-01-03"), (1, "b", None, "2025-02-03"), (1, "b", None, "2025-02-09"), (1, "a", None, "2025-03-01"),  # undone before the first cut
+        (2, "x", "no", "2025-01-05"), (2, "x", "yes", "2025-08-01"), (2, "x", "no", "2025-08-02"),  # gone and back between two cuts
+        (3, "q", None, "2025-01-01"), (3, None, "q", "2025-09-01"), (3, None, "q", "2026-03-01"), (4, "late", None, "2026-02-02"), (5, "n", None, None),
+    ]
+    log = spark.createDataFrame([*rows, *rows[:3]], "k int, v string, u string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    h = history.merkle_changes(log, ["k"], ["v", "u"], "t", 6)
+    got = h.select("k", "v", "u", F.col("t").cast("date").cast("string").alias("f"), F.col("until").cast("date").cast("string").alias("e"), "open").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [
+        (1, "a", None, "2025-01-03", "2025-02-03", False), (1, "b", None, "2025-02-03", "2025-03-01", False), (1, "a", None, "2025-03-01", None, True),
+        (2, "x", "no", "2025-01-05", "2025-08-01", False), (2, "x", "yes", "2025-08-01", "2025-08-02", False), (2, "x", "no", "2025-08-02", None, True),
+        (3, "q", None, "2025-01-01", "2025-09-01", False), (3, None, "q", "2025-09-01", None, True), (4, "late", None, "2026-02-02", None, True),
+    ]))
+    assert history.merkle_changes(log.limit(0), ["k"], ["v", "u"], "t").columns == h.columns
+
+
+def test_p4_history_against_replay(spark, real):
+    _, _, a, s = real
+    want, logs = [], {}
+    for src, rows in ((0, a), (1, s)):
+        for r in rows:
+            if (r["name"] or "").startswith("entity-"):
+                logs.setdefault((src, r["note_id"]), []).append((r["seen_at"], (r["name"], r["valid_from"], r["superseded_by"], r["deleted"])))
+    for key, seen in logs.items():
+        seen.sort(key=lambda x: x[0])
+        new = [x for i, x in enumerate(seen) if not i or x[1] != seen[i - 1][1]]
+        want += [(*key, *v, at, new[i + 1][0] if i + 1 < len(new) else None) for i, (at, v) in enumerate(new)]
+    h = history.merkle_changes(versions.entity_log(*real[:2]), ["src", "note_id"], ["name", "valid_from", "superseded_by", "deleted"], "seen_at")
+    got = [tuple(r)[:-1] for r in h.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > len(logs)
+
+
 def test_components(spark):
     chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60)]
     star = [("hub", f"s{i}") for i in range(200)]
