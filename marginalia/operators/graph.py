@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.links import wikilinks
+from marginalia.operators.components import connected_components
 from marginalia.operators.vault_state import by_name
 from marginalia.session import materialize, materialize_with, release
 
@@ -87,70 +91,176 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     return ranks.select("name", F.col("x").alias("rank"))
 
 
-def spectral(nodes: DataFrame, edges: DataFrame, dims: int = 16, exact_nodes: int = 2_000, rounds: int = 30, seed: int = 1) -> DataFrame:
+def spectral(nodes: DataFrame, edges: DataFrame, dims: int = 16, exact_nodes: int = 2_000, rounds: int = 1_000, seed: int = 1, tol: float = 1e-6) -> DataFrame:
     """``name, spectral``: eigenvectors 1 to ``dims`` of the undirected graph's normalised Laplacian.
 
-    Signs are fixed by the largest component, values rounded to 6 places, missing dimensions 0. Up to ``exact_nodes``
-    nodes are solved densely on the driver; above it, distributed block power iteration with a ``dims + 1`` wide
-    orthonormalisation, so only the small Gram matrix ever reaches the driver. A graph without edges has all zeros.
+    The eigenvalue 0 has one vector per component, an isolate being one: the component's root degrees at unit length (1
+    for an isolate). They come first, by size of the component and then by its smallest name; the first of all is left
+    out. Signs are fixed by the largest component, values rounded to 6 places, missing dimensions 0. The other vectors
+    are solved densely on the driver up to ``exact_nodes`` nodes; above it, by filtered block iteration, until every
+    vector's residual is at most ``tol`` (RuntimeError after ``rounds`` multiplications). There only Gram matrices reach
+    the driver. Vectors of one repeated eigenvalue other than 0 are any basis. A graph without edges has all zeros.
     """
     nodes = nodes.select("name").where("name is not null").distinct()
     both = edges.where("src <> dst").select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    both = both.join(nodes.select(F.col("name").alias("src")), "src", "left_semi").join(nodes.select(F.col("name").alias("dst")), "dst", "left_semi")
     n = nodes.count()
     d = min(dims, n - 2)
     zeros = F.array(*[F.lit(0.0)] * dims)
     if d <= 0 or not both.limit(1).count():
         return nodes.withColumn("spectral", zeros)
-    if n <= exact_nodes:
-        names = sorted(r["name"] for r in nodes.collect())  # bounded by exact_nodes
-        at = {x: i for i, x in enumerate(names)}
-        a = np.zeros((n, n))
-        for r in both.collect():  # at most exact_nodes squared
-            if r["src"] in at and r["dst"] in at:
-                a[at[r["src"]], at[r["dst"]]] = 1
-        deg = a.sum(1)
-        inv = np.where(deg > 0, 1 / np.sqrt(np.maximum(deg, 1)), 0)
-        lap = np.diag((deg > 0).astype(float)) - inv[:, None] * a * inv[None, :]
-        _, vec = np.linalg.eigh(lap)
-        v = vec[:, 1 : d + 1]
-        v = np.round(v * np.sign(v[np.abs(v).argmax(0), np.arange(d)]), 6) + 0.0
-        rows = [(x, [*map(float, v[i]), *[0.0] * (dims - d)]) for i, x in enumerate(names)]
-        return nodes.sparkSession.createDataFrame(rows, "name string, spectral array<double>")
-    return _power_iteration(nodes, both, d, dims, rounds, seed)
-
-
-def _power_iteration(nodes: DataFrame, both: DataFrame, d: int, dims: int, rounds: int, seed: int) -> DataFrame:
-    k = d + 1
-    deg = both.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("deg"))
-    base = materialize(nodes.join(deg, "name", "left").fillna(0, ["deg"]), "base")
+    if n > exact_nodes:
+        return _filtered_iteration(nodes, both, d, dims, rounds, seed, tol)
+    names = sorted(r["name"] for r in nodes.collect())  # bounded by exact_nodes
+    at = {x: i for i, x in enumerate(names)}
+    a = np.zeros((n, n))
+    for r in both.collect():  # at most exact_nodes squared
+        a[at[r["src"]], at[r["dst"]]] = 1
+    deg = a.sum(1)
+    inv = np.where(deg > 0, 1 / np.sqrt(np.maximum(deg, 1)), 0)
+    lap = np.diag((deg > 0).astype(float)) - inv[:, None] * a * inv[None, :]
+    parts = _parts(a)
+    flat = np.zeros((n, len(parts)))
+    for j, part in enumerate(parts):
+        flat[part, j] = np.sqrt(deg[part] / deg[part].sum()) if len(part) > 1 else 1
+    _, vec = np.linalg.eigh(lap)
+    v = np.hstack([flat, vec[:, len(parts) :]])[:, 1 : d + 1]
+    v = np.round(v * np.sign(v[np.round(np.abs(v), 9).argmax(0), np.arange(d)]), 6) + 0.0
+    rows = [(x, [*map(float, v[i]), *[0.0] * (dims - d)]) for i, x in enumerate(names)]
+    return nodes.sparkSession.createDataFrame(rows, "name string, spectral array<double>")
+
+
+def _parts(a: np.ndarray) -> list[list[int]]:
+    """The components of an adjacency matrix, the largest first, then that of the smallest index."""
+    left, parts = set(range(len(a))), []
+    while left:
+        part, todo = set(), [min(left)]
+        while todo:
+            i = todo.pop()
+            if i not in part:
+                part.add(i)
+                todo += map(int, np.flatnonzero(a[i]))
+        left -= part
+        parts.append(sorted(part))
+    return sorted(parts, key=lambda x: (-len(x), x[0]))
+
+
+#: Multiplications in one filter of the block iteration.
+FILTER = 12
+
+
+def _filtered_iteration(nodes: DataFrame, both: DataFrame, d: int, dims: int, rounds: int, seed: int, tol: float) -> DataFrame:
+    """The vectors of 0 by components; the others, if any are wanted, by :func:`_settled`."""
     edges = materialize(both, "edges")
+    deg = edges.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("deg"))
+    labels = connected_components(nodes.select(F.col("name").alias("node")), edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    base = materialize(labels.withColumnRenamed("node", "name").join(deg, "name", "left").fillna(0, ["deg"]), "base")
+    sizes = materialize(base.groupBy("component").agg(F.count("*").alias("n"), F.sum("deg").alias("volume")), "sizes")
+    top = sizes.orderBy(F.desc("n"), "component").limit(d + 1).collect()
+    known = base.sparkSession.createDataFrame([(r["component"], j, float(r["volume"])) for j, r in enumerate(top)], "component string, part int, volume double")
+    base = base.join(F.broadcast(known), "component", "left").select("name", "deg", "part", F.when(F.col("volume") > 0, F.sqrt(F.col("deg") / F.col("volume"))).otherwise(1.0).alias("unit"))
+    base = materialize(base, "base")
+    want = d - (len(top) - 1)  # above 0 only if every component is in ``top``
+    flat = [F.round(F.when(F.col("part") == j, F.col("unit")).otherwise(0.0), 6) for j in range(1, len(top))]
+    if want > 0:
+        spread = base.where("deg > 0")
+        x, found = _settled(spread, edges, len(top), want, spread.count() - sum(r["volume"] > 0 for r in top), rounds, seed, tol)
+        tops = x.agg(*[F.min_by(F.col("v")[i], F.struct(-F.round(F.abs(F.col("v")[i]), 9), "name")).alias(f"t{i}") for i in range(found)]).first() if found else {}
+        base = base.join(x.select("name", "v"), "name", "left")
+        flat += [F.round(F.coalesce(F.col("v")[i], F.lit(0.0)) * (1.0 if tops[f"t{i}"] >= 0 else -1.0), 6) + 0.0 for i in range(found)]
+    flat += [F.lit(0.0)] * (dims - len(flat))
+    return base.select("name", F.array(*flat).alias("spectral"))
+
+
+def _settled(base: DataFrame, edges: DataFrame, parts: int, want: int, room: int, rounds: int, seed: int, tol: float) -> tuple[DataFrame, int]:
+    """``name, v``: the leading eigenvectors of the scaled adjacency besides those of the components, and their number.
+
+    Block iteration with a Chebyshev filter over the interval below the block's least Ritz value; the components' vectors
+    (``part, unit``) are taken out in every Rayleigh-Ritz step. A round is one join and one aggregation.
+    """
+    want = min(want, room)
+    if want <= 0:
+        return base.select("name", F.array().cast("array<double>").alias("v")), 0
+    k = min(room, max(2 * want, want + 8))
     noise = F.array(*[F.pmod(F.xxhash64("name", F.lit(seed + i)), F.lit(2_000_001)) / F.lit(1_000_000.0) - 1 for i in range(k)])
-    x = materialize(base.select("name", "deg", noise.alias("x")), "x")
-
-    def combine(a: Column, m: np.ndarray) -> Column:
-        return F.array(*[sum((a[i] * float(m[i, j]) for i in range(k)), F.lit(0.0)) for j in range(m.shape[1])])
-
-    for _ in range(rounds):
-        root = F.when(F.col("deg") > 0, 1 / F.sqrt(F.col("deg"))).otherwise(0.0)
-        sent = x.select(F.col("name").alias("src"), F.transform("x", lambda v: v * root).alias("y"))
-        sums = edges.join(sent, "src").groupBy(F.col("dst").alias("name")).agg(*[F.sum(F.col("y")[i]).alias(f"s{i}") for i in range(k)])
-        moved = x.join(sums, "name", "left").select("name", "deg", F.array(*[F.col("x")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * root for i in range(k)]).alias("x"))
-        moved = materialize(moved, "moved")
-        gram = moved.agg(*[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = gram[f"g{i}_{j}"]
-        w, v = np.linalg.eigh(g)
-        white = (v / np.sqrt(np.maximum(w, 1e-300)))[:, ::-1]
-        fresh = materialize(moved.select("name", "deg", combine(F.col("x"), white).alias("x")), "x")
-        release(x)
-        release(moved)
-        x = fresh
-    pad = F.array(*[F.lit(0.0)] * (dims - d)) if dims > d else F.array().cast("array<double>")
-    tops = x.agg(*[F.max_by(F.col("x")[i], F.struct(F.abs(F.col("x")[i]), "name")).alias(f"t{i}") for i in range(1, k)]).first()
-    signed = F.array(*[F.round(F.col("x")[i] * (1.0 if tops[f"t{i}"] >= 0 else -1.0), 6) for i in range(1, k)])
-    return x.select("name", F.concat(signed, pad).alias("spectral"))
+    x = materialize(base.select("name", "deg", "part", "unit", F.array().cast("array<double>").alias("p"), noise.alias("q")), "x")
+    used = 0
+    while True:
+        x, used = _multiplied(x, edges, k, lambda s, p, q: s), used + 1
+        g = _gram(x, k, parts)
+        vu, wu = g[:k, 2 * k :], g[k : 2 * k, 2 * k :]
+        vv, vw, ww = g[:k, :k] - vu @ vu.T, g[:k, k : 2 * k] - vu @ wu.T, g[k : 2 * k, k : 2 * k] - wu @ wu.T
+        vw = (vw + vw.T) / 2
+        scale = 1 / np.sqrt(np.maximum(np.diag(vv), 1e-300))
+        w, y = np.linalg.eigh(scale[:, None] * vv * scale[None, :])
+        good = w > w.max() * 1e-12
+        white = scale[:, None] * y[:, good] / np.sqrt(w[good])
+        theta, y = np.linalg.eigh(white.T @ vw @ white)
+        theta, y = theta[::-1], (white @ y)[:, ::-1]
+        rest = [float(np.sqrt(max(c @ (ww - 2 * t * vw + t * t * vv) @ c, 0.0))) for t, c in zip(theta[:want], y.T[:want], strict=True)]
+        done = len(theta) >= want and max(rest) <= tol
+        low = float(theta[-1])
+        centre, half = (low - 1) / 2, max((1 + low) / 2, 1e-6)
+        k = len(theta)
+        x = _rotated(x, vu, wu, y, 0.0 if done else centre, 1.0 if done else half)
+        if done:
+            return x.select("name", F.col("p").alias("v")), want
+        if used + FILTER > rounds:
+            raise RuntimeError(f"the embedding did not settle within {rounds} rounds: residual {max(rest):.1e}")
+        for _ in range(FILTER - 1):
+            x, used = _multiplied(x, edges, k, lambda s, p, q: (s - centre * q) * (2 / half) - p), used + 1  # noqa: B023
+
+
+def _multiplied(x: DataFrame, edges: DataFrame, k: int, step: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """``p, q`` become ``q, step(A q, p, q)``."""
+    root = 1 / F.sqrt(F.col("deg"))
+    sent = x.select(F.col("name").alias("src"), F.transform("q", lambda v: v * root).alias("y"))
+    sums = edges.join(sent, "src").groupBy(F.col("dst").alias("name")).agg(*[F.sum(F.col("y")[i]).alias(f"s{i}") for i in range(k)])
+    fresh = F.array(*[step(F.col(f"s{i}") * root, F.col("p")[i], F.col("q")[i]) for i in range(k)])
+    out = materialize(x.join(sums, "name").select("name", "deg", "part", "unit", F.col("q").alias("p"), fresh.alias("q")), "x")
+    release(x)
+    return out
+
+
+def _block(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _gram(x: DataFrame, k: int, parts: int) -> np.ndarray:
+    """The products of all pairs of columns of ``p``, ``q`` and the components' vectors."""
+    width = 2 * k + parts
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            if b.num_rows:
+                units = np.zeros((b.num_rows, parts))
+                units[np.arange(b.num_rows), b.column("part").to_numpy(zero_copy_only=False)] = b.column("unit").to_numpy(zero_copy_only=False)
+                s = np.hstack([_block(b, "p"), _block(b, "q"), units])
+                total += s.T @ s
+        yield pa.RecordBatch.from_pydict({"g": [total.ravel().tolist()]})
+
+    sums = x.select("p", "q", "part", "unit").mapInArrow(products, "g array<double>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("v"))
+    out = np.zeros(width * width)
+    for r in sums.collect():  # the square of some eighty columns
+        out[r["pos"]] = r["v"]
+    return out.reshape(width, width)
+
+
+def _rotated(x: DataFrame, vu: np.ndarray, wu: np.ndarray, y: np.ndarray, centre: float, half: float) -> DataFrame:
+    """``p`` without the components' vectors in the Ritz basis ``y``, and ``q``, its image, shifted and scaled."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                part, unit = (b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "unit"))
+                v, w = ((_block(b, c) - unit[:, None] * m.T[part]) @ y for c, m in (("p", vu), ("q", wu)))
+                kept = {c: b.column(c) for c in ("name", "deg", "part", "unit")}
+                yield pa.RecordBatch.from_pydict(kept | {"p": pa.array(list(v), pa.list_(pa.float64())), "q": pa.array(list((w - centre * v) / half), pa.list_(pa.float64()))})
+
+    out = materialize(x.mapInArrow(turn, x.schema), "x")
+    release(x)
+    return out
 
 
 def cosine(a: Column, b: Column) -> Column:

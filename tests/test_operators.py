@@ -139,6 +139,20 @@ def test_spectral_paths_agree(spark):
     assert {tuple(v) for v in dict(tuples(graph.spectral(nodes, edges.limit(0), 4), "name", "spectral")).values()} == {(0.0,) * 4}
 
 
+def test_spectral_treats_components_alike_on_both_paths(spark):
+    pairs = [(i, (i * 5 + j) % 18) for i in range(18) for j in (1, 3)] + [(i, (i + 1) % 18) for i in range(18)] + [(20, 21), (21, 22), (22, 20)]
+    nodes = spark.createDataFrame([(f"v{i:02d}",) for i in [*range(18), 20, 21, 22, 30, 31]], "name string")
+    edges = spark.createDataFrame([(f"v{a:02d}", f"v{b:02d}") for a, b in pairs if a != b] + [("v00", "unknown")], "src string, dst string")
+    got = [dict(tuples(graph.spectral(nodes, edges, 6, exact_nodes=x), "name", "spectral")) for x in (2_000, 0)]
+    names = sorted(got[0])
+    a, b = (np.array([g[k] for k in names]) for g in got)
+    assert a.shape == (23, 6) and np.abs(a - b).max() < 1e-4
+    assert a[names.index("v30")].tolist() == [0, 1, 0, 0, 0, 0] and a[names.index("v31")].tolist() == [0, 0, 1, 0, 0, 0]
+    assert np.abs(b.T @ b - np.eye(6)).max() < 1e-4
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.spectral(nodes, edges, 6, exact_nodes=0, rounds=1)
+
+
 def test_tfidf_scores(spark):
     docs = spark.createDataFrame([(1, "red red fox"), (2, "red fox"), (3, "blue whale"), (4, ""), (5, None), (6, "red fox")], "id int, text string")
     counts = tfidf.term_counts(docs, "id", "text")
