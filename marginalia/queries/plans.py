@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import BUCKETS, NAME_STOP_WORDS
-from marginalia.operators import bookkeeping, graph, lanes
+from marginalia.operators import bookkeeping, graph
 from marginalia.operators.vault_state import by_name, current_notes
-from marginalia.plans import consolidate, doctor, gate, migrate, recall, scores
+from marginalia.plans import build, consolidate, doctor, gate, migrate, recall, scores
 from marginalia.queries.general import _TARGET, _day
 from marginalia.queries.tables import table
 from marginalia.queries.vault import RULES, TODAY, WINDOW
@@ -131,15 +131,14 @@ def boot_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_fused(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid recall for the oldest usable chunk's vector, lane operational."""
-    notes = by_name(_notes(spark, d))
-    nodes = notes.select("name", "rel_path", lanes.lane_of(F.col("rel_path"), F.col("raw_text"), RULES).alias("lane"), (F.coalesce("superseded_by", F.lit("")) != "").alias("superseded"), F.array(*[F.lit(0.0)] * 16).alias("spectral"))
+    """Hybrid recall for the oldest usable chunk's vector, lane operational, over the nodes and lane-cut edges of an index."""
+    nodes, edges = build.graph_tables(_notes(spark, d), RULES)
     laned = nodes.select(F.col("name").alias("note_name"), "lane", "rel_path")
     texts = table(spark, d, "chunks").select("id", "note_name", "section").distinct()
     vectors = table(spark, d, "vec_chunks").where("size(embedding) = 64").distinct()
     chunks = texts.join(vectors, "id").join(laned, "note_name")
     q = [float(x) for x in vectors.where(~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).orderBy("id").first()["embedding"]]
-    found = recall.recall(nodes, graph.link_edges(notes), chunks, "handover of the vendor quote", q, "operational", RULES, iterations=10)
+    found = recall.recall(nodes, edges, chunks, "handover of the vendor quote", q, "operational", RULES, iterations=10)
     return found.hits.select("name", F.round("score", 6).alias("score"), F.round("dense_sim", 6).alias("dense_sim"), "superseded", "best_section")
 
 

@@ -10,6 +10,7 @@ from marginalia.operators import graph, index
 from marginalia.operators.lanes import LaneRules
 from marginalia.operators.vault_state import by_name
 from marginalia.plans import build, consolidate, doctor, gate, hydrate, migrate, recall, scores
+from marginalia.queries import plans
 from marginalia.sources import stores
 from marginalia.sources.connectors import EmbedderError, HashEmbedder, HttpEmbedder, answer_bullets, first_json
 from marginalia.sources.vault import VaultPathError, inside, note_paths, parse_note, read_vault, split_faults
@@ -214,3 +215,14 @@ def test_tools(spark, vault):
     assert "keeps the harbor" in table["hydrate"]("Harbor") and table["delete"]("entities/entity-Pier-v9.md")
     with pytest.raises(VaultPathError):
         table["create"]("../out.md", "x")
+
+
+def test_recall_query_is_fed_from_the_index_graph(spark, monkeypatch):
+    folder, fed = "/root/testdata/sf0.001", []
+    whole = recall.recall
+    monkeypatch.setattr(recall, "recall", lambda nodes, edges, *rest, **more: fed.append((nodes, edges)) or whole(nodes, edges, *rest, **more))
+    assert plans.recall_fused(spark, folder).count() > 0
+    nodes, edges = build.graph_tables(plans._notes(spark, folder), plans.RULES)
+    shown = ("name", "rel_path", "lane", "superseded", "spectral")
+    assert tuples(fed[0][0], *shown) == tuples(nodes, *shown) and tuples(fed[0][1], "src", "dst") == tuples(edges, "src", "dst")
+    assert fed[0][0].where("exists(spectral, x -> x <> 0)").count() > 0
