@@ -10,7 +10,7 @@ from marginalia.operators import bookkeeping, graph
 from marginalia.operators.vault_state import by_name, current_notes
 from marginalia.plans import build, consolidate, doctor, gate, migrate, recall, scores
 from marginalia.queries.general import _TARGET, _day
-from marginalia.queries.tables import table
+from marginalia.queries.tables import table, vault_log
 from marginalia.queries.vault import RULES, TODAY, WINDOW
 from marginalia.queries.vault_sql import LINKS, LIVE, SEEN, _in
 
@@ -27,7 +27,7 @@ MIGRATION = [
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    return current_notes(table(spark, d, "notes"), _EVERYTHING)
+    return current_notes(vault_log(spark, d), _EVERYTHING)
 
 
 def kind_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from marginalia.functions import chunks as chunking
 from marginalia.functions import dates, text
 from marginalia.operators import bookkeeping, conflict, graph, index, lanes, temporal, tfidf, vector
 from marginalia.operators.vault_state import by_name, current_notes, duplicate_names
-from marginalia.queries.tables import table
+from marginalia.queries.tables import table, vault_log
 
 #: The days and limits the report queries use.
 TODAY, WINDOW, AS_OF, CUT = "2026-06-30", 120, "2025-06-30", "2025-12-31 00:00:00"
@@ -26,7 +26,7 @@ RULES = lanes.LaneRules(
 
 
 def notes_of(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return current_notes(table(spark, d, "notes"), list(columns))
+    return current_notes(vault_log(spark, d), list(columns))
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +224,7 @@ def stale_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _as_of_cut(spark: SparkSession, d: str) -> DataFrame:
-    return current_notes(table(spark, d, "notes").where(F.col("seen_at") <= F.lit(CUT).cast("timestamp_ntz")), ["rel_path", "raw_text"])
+    return current_notes(vault_log(spark, d).where(F.col("seen_at") <= F.lit(CUT).cast("timestamp_ntz")), ["rel_path", "raw_text"])
 
 
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:

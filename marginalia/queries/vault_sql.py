@@ -12,8 +12,10 @@ def _in(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
-LIVE = """
-WITH cur AS (SELECT * FROM (SELECT DISTINCT ON (note_id, seen_at) * FROM notes) QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY seen_at DESC) = 1),
+VAULT = "vault AS (SELECT * FROM notes UNION ALL BY NAME SELECT * REPLACE (-note_id AS note_id) FROM seed_notes)"
+LIVE = f"""
+WITH {VAULT},
+cur AS (SELECT * FROM (SELECT DISTINCT ON (note_id, seen_at) * FROM vault) QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY seen_at DESC) = 1),
 live AS (SELECT * FROM cur WHERE NOT coalesce(deleted, false)),
 named AS (SELECT * FROM live WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY rel_path DESC) = 1)
 """
@@ -115,8 +117,9 @@ _QVEC = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
 _SIM = f"coalesce(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_QVEC} AS DOUBLE[])), 0)"
 _CUT = "2025-12-31 00:00:00"
 MANIFEST = f"""
-WITH cur AS (SELECT * FROM notes QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY seen_at DESC) = 1),
-past AS (SELECT * FROM notes WHERE seen_at <= TIMESTAMP '{_CUT}' QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY seen_at DESC) = 1),
+WITH {VAULT},
+cur AS (SELECT * FROM vault QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY seen_at DESC) = 1),
+past AS (SELECT * FROM vault WHERE seen_at <= TIMESTAMP '{_CUT}' QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY seen_at DESC) = 1),
 new AS (SELECT rel_path, substr(sha256(coalesce(raw_text, '')), 1, 16) AS h FROM cur WHERE NOT coalesce(deleted, false)),
 old AS (SELECT rel_path, substr(sha256(coalesce(raw_text, '')), 1, 16) AS h FROM past WHERE NOT coalesce(deleted, false)),
 diff AS (SELECT coalesce(o.rel_path, n.rel_path) AS rel_path, CASE WHEN o.rel_path IS NULL THEN 'added' WHEN n.rel_path IS NULL THEN 'removed' WHEN o.h <> n.h THEN 'changed' END AS change
