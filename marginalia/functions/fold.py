@@ -17,19 +17,26 @@ LOOK_ALIKES = {
     "ο": "o", "ρ": "p", "α": "a", "ε": "e", "τ": "t", "ι": "i", "κ": "k", "μ": "m", "υ": "u", "օ": "o", "ա": "a", "ё": "e",
     "ѐ": "e",
 }
-_TABLE = {ord(c): None for c in ZERO_WIDTH} | {ord(c): ":" for c in COLONS} | {ord(a): b for a, b in LOOK_ALIKES.items()}
-_HIDDEN = {ord(c): None for c in ZERO_WIDTH}
+
+
+class _Replacements(dict):
+    """What each code point turns into, worked out when it is first met: nothing for invisible characters and accents, the
+    look-alike's plain letter, else the letters of the compatibility form."""
+
+    def __missing__(self, point: int) -> str:
+        bare = [c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c) and c not in ZERO_WIDTH]
+        self[point] = "".join(":" if c in COLONS else LOOK_ALIKES.get(c, c) for c in bare)
+        return self[point]
+
+
+_REPLACEMENTS = _Replacements()
 
 
 def fold_text(text: str | None) -> str | None:
     """Compatibility form without invisible characters and accents, with look-alikes mapped; null stays null."""
-    if text is None:
-        return None
-    if text.isascii():
+    if text is None or text.isascii():
         return text
-    wide = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).translate(_HIDDEN))
-    bare = unicodedata.normalize("NFC", "".join(c for c in wide if not unicodedata.combining(c)))
-    return bare.translate(_TABLE)
+    return unicodedata.normalize("NFC", text.translate(_REPLACEMENTS))
 
 
 @F.pandas_udf(StringType())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,19 @@ def link_pairs(notes: DataFrame) -> DataFrame:
 
 
 def link_edges(notes: DataFrame, self_loops: bool = False) -> DataFrame:
-    """Distinct edges between names that exist; dangling targets are dropped."""
+    """``src, dst, n``: edges between names that exist, with the number of links each stands for; dangling targets are
+    dropped. The boot graph keeps notes that link themselves, the artifact's does not."""
     nodes = by_name(notes).select(F.col("name").alias("dst"))
-    edges = link_pairs(notes).where("src is not null and dst <> ''").distinct().join(nodes, "dst", "left_semi").select("src", "dst")
-    return edges if self_loops else edges.where("src <> dst")
+    pairs = link_pairs(notes).where("src is not null and dst <> ''")
+    counted = (pairs if self_loops else pairs.where("src <> dst")).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return counted.join(nodes, "dst", "left_semi").select("src", "dst", "n")
 
 
 def cut_lanes(edges: DataFrame, lanes: DataFrame) -> DataFrame:
     """Edges whose ends (``lanes(name, lane)``) share a lane or of which one is neutral; others are dropped."""
     a, b = lanes.select(F.col("name").alias("src"), F.col("lane").alias("la")), lanes.select(F.col("name").alias("dst"), F.col("lane").alias("lb"))
     both = edges.join(a, "src").join(b, "dst")
-    return both.where((F.col("la") == F.col("lb")) | (F.col("la") == "neutral") | (F.col("lb") == "neutral")).select("src", "dst")
+    return both.where((F.col("la") == F.col("lb")) | (F.col("la") == "neutral") | (F.col("lb") == "neutral")).select(*edges.columns)
 
 
 def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -42,14 +45,15 @@ def isolates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("name").distinct().join(ends, "name", "left_anti")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, iterations: int | None = None, tol: float = 1e-6, max_iterations: int = 100) -> DataFrame:
-    """``name, rank``: personalised PageRank over distinct directed edges.
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, tol: float = 1e-6, max_iterations: int = 1_000) -> DataFrame:
+    """``name, rank``: personalised PageRank over distinct directed edges; ranks add up to 1.
 
     ``seeds(name, weight)`` sets where the walk restarts (weights are normalised; unknown seeds and weights not above 0
-    are ignored); without any it restarts anywhere. Mass at nodes without a way out goes where the walk restarts. With
-    ``iterations`` exactly so many rounds run, otherwise until the ranks move by less than ``tol`` per node in all
-    (RuntimeError after ``max_iterations``). One join and one aggregation a round; a hub's in-edges combine before the
-    shuffle. Every round is written to the shared folder, so lineage does not grow and lost executors cost one round.
+    are ignored); without any it restarts anywhere. Mass at nodes without a way out goes where the walk restarts, so the
+    ranks are in proportion to what walks that end there leave behind: the sum over all lengths of ``(alpha P^T)^k p``.
+    A round carries the mass still under way one link on, one join and one aggregation; a hub's in-edges combine before
+    the shuffle. It ends when less than ``tol`` per node is under way (RuntimeError after ``max_iterations`` rounds).
+    Every round is written to the shared folder, so lineage does not grow and lost executors cost one round.
     """
     nodes = nodes.select("name").where("name is not null").distinct()
     n = nodes.count()
@@ -57,38 +61,29 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
         return nodes.withColumn("rank", F.lit(0.0))
     known = edges.select("src", "dst").distinct().join(nodes.select(F.col("name").alias("src")), "src", "left_semi").join(nodes.select(F.col("name").alias("dst")), "dst", "left_semi")
     known = materialize(known, "edges")
-    degree = known.groupBy(F.col("src").alias("name")).agg(F.count("*").alias("deg"))
-    base = nodes.join(degree, "name", "left").fillna(0, ["deg"])
+    degree = known.groupBy("src").agg(F.count("*").alias("deg"))
+    steps = materialize(known.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("deg")).alias("share")), "steps")
+    start = nodes.select("name", F.lit(1.0 / n).alias("y"))
     if seeds is not None:
         wanted = seeds.groupBy("name").agg(F.max("weight").alias("w")).where("w > 0").join(nodes, "name", "left_semi")
         total = wanted.agg(F.sum("w")).first()[0]
         if total:
-            base = base.join(wanted, "name", "left").withColumn("p", F.coalesce("w", F.lit(0.0)) / total).drop("w")
-        else:
-            base = base.withColumn("p", F.lit(1.0 / n))
-    else:
-        base = base.withColumn("p", F.lit(1.0 / n))
-    base = materialize(base, "base")
-    ranks = base.select("name", "deg", "p", F.lit(1.0 / n).alias("x"))
-    dangling = base.agg(F.sum((F.col("deg") == 0).cast("double"))).first()[0] / n
-    for i in range(iterations if iterations is not None else max_iterations):
-        flow = known.join(ranks.where("deg > 0").select(F.col("name").alias("src"), (F.col("x") / F.col("deg")).alias("y")), "src").groupBy(F.col("dst").alias("name")).agg(F.sum("y").alias("inflow"))
-        step = ranks.join(flow, "name", "left").select(
-            "name", "deg", "p",
-            (F.lit(alpha) * (F.coalesce("inflow", F.lit(0.0)) + F.lit(dangling) * F.col("p")) + F.lit(1 - alpha) * F.col("p")).alias("x"),
-            F.col("x").alias("old"),
-        )
-        step, sums = materialize_with(step, "ranks", err=F.sum(F.abs(F.col("x") - F.col("old"))), lost=F.sum(F.when(F.col("deg") == 0, F.col("x")).otherwise(0.0)))
-        if i:
-            release(ranks)
-        err, dangling = sums["err"], sums["lost"]
-        ranks = step
-        if iterations is None and err < n * tol:
+            start = wanted.select("name", (F.col("w") / total).alias("y"))
+    rounds, masses = [materialize(start, "mass")], [1.0]
+    for _ in range(max_iterations):
+        moved = steps.join(rounds[-1].withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("y") * F.col("share")).alias("y"))
+        moved, sums = materialize_with(moved, "mass", under_way=F.sum("y"))
+        rounds.append(moved)
+        masses.append(sums["under_way"] or 0.0)
+        if masses[-1] < n * tol:
             break
     else:
-        if iterations is None:
-            raise RuntimeError(f"ranks did not settle within {max_iterations} rounds")
-    return ranks.select("name", F.col("x").alias("rank"))
+        raise RuntimeError(f"ranks did not settle within {max_iterations} rounds")
+    left = reduce(DataFrame.unionByName, rounds).groupBy("name").agg((F.sum("y") / sum(masses)).alias("rank"))
+    ranks = materialize(nodes.join(left, "name", "left").fillna(0.0, ["rank"]), "ranks")
+    for t in (known, steps, *rounds):
+        release(t)
+    return ranks
 
 
 def spectral(nodes: DataFrame, edges: DataFrame, dims: int = 16, exact_nodes: int = 2_000, rounds: int = 1_000, seed: int = 1, tol: float = 1e-6) -> DataFrame:

@@ -28,21 +28,34 @@ def index_work(recorded: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def revision(sources: DataFrame, group: list[Column] | None = None, length: int = 12) -> DataFrame:
-    """The first hex digits of the SHA-256 over all ``rel NUL hash NUL``, in order of path, per group.
+    """The first hex digits of a hash of all paths with their hashes, per group; the order of rows does not matter.
 
-    A group's pairs are gathered to be hashed in order; use it per folder or vault, whose maps are small against texts.
+    Two levels: the pairs ``rel NUL hash NUL`` of a bucket (the first three hex digits of the path's SHA-256) are hashed in
+    order of path, then the at most 4,096 buckets' digests in order of bucket. No task gathers more than a bucket.
     """
+    names = [f"g{i}" for i in range(len(group or []))]
     line = F.concat("rel_path", F.lit("\0"), "hash", F.lit("\0"))
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rel_path", line.alias("line")))), lambda x: x["line"]), "")
-    grouped = sources.groupBy(*group) if group else sources.groupBy()
-    return grouped.agg(F.substring(F.sha2(ordered, 256), 1, length).alias("rev"))
+    rows = sources.select(*[c.alias(n) for c, n in zip(group or [], names, strict=True)], F.substring(F.sha2("rel_path", 256), 1, 3).alias("b"), F.struct("rel_path", line.alias("line")).alias("l"))
+
+    def digest_of(rows: Column, part: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x[part]), ""), 256)
+
+    buckets = rows.groupBy(*names, "b").agg(digest_of(F.col("l"), "line").alias("h"))
+    out = buckets.groupBy(*names).agg(F.substring(digest_of(F.struct("b", "h"), "h"), 1, length).alias("rev"))
+    titles = sources.select(*(group or [])).columns
+    return out.select(*[F.col(n).alias(t) for n, t in zip(names, titles, strict=True)], "rev")
 
 
 def intent_states(intents: DataFrame, live: DataFrame) -> DataFrame:
-    """``intent_id, rel_path, state`` of each target of a batch: ``missing`` (no such file now), ``patched`` (has the
-    hash after), ``unpatched`` (has the hash before) or ``diverged``. A target whose hashes are equal is patched."""
-    t = intents.select("intent_id", F.explode("targets").alias("t")).select("intent_id", "t.*")
-    joined = t.join(live.withColumnRenamed("hash", "now"), "rel_path", "left")
+    """``intent_id, rel_path, state`` of each target of a batch; see :func:`target_states`."""
+    return target_states(intents.select("intent_id", F.explode("targets").alias("t")).select("intent_id", "t.*"), live)
+
+
+def target_states(targets: DataFrame, live: DataFrame) -> DataFrame:
+    """``intent_id, rel_path, state`` of ``targets(intent_id, rel_path, pre_hash, post_hash)``: ``missing`` (no such file now),
+    ``patched`` (has the hash after), ``unpatched`` (has the hash before) or ``diverged``. A target whose hashes are equal is
+    patched."""
+    joined = targets.join(live.withColumnRenamed("hash", "now"), "rel_path", "left")
     state = F.when(F.col("now").isNull(), "missing").when(F.col("now") == F.col("post_hash"), "patched").when(F.col("now") == F.col("pre_hash"), "unpatched").otherwise("diverged")
     return joined.select("intent_id", "rel_path", state.alias("state"))
 

@@ -13,39 +13,47 @@ from marginalia.session import materialize, materialize_with, release
 ENTITY_KINDS = ["entity", "project", "person", "stakeholder", "research-project", "agent"]
 
 
-def resolve(notes: DataFrame, starts: DataFrame, as_of: Column | None = None, max_hops: int = 1_000) -> DataFrame:
+def resolve(notes: DataFrame, starts: DataFrame, as_of: Column | None = None) -> DataFrame:
     """``start, current, chain, hops``: follow ``superseded_by`` from each name of ``starts(name)``.
 
     ``notes`` has one row per ``name`` with ``superseded_by`` and ``valid_from``. The walk stops at a note without a
     successor, at a name seen before (a cycle), at a name no note has (it ends the chain but is never current) and, with
     ``as_of``, before the first note valid only later. ``current`` is the last note reached, null if the first one is
-    missing or valid only later. All walks advance together, one equi-join a round, until none moves.
+    missing or valid only later. A null start gives no row.
+
+    Paths double: a note's path is lengthened by the path of the note it leads to, so a chain of n notes takes log2 n
+    rounds of one equi-join, each over the notes whose path is not complete. A cycle is cut where it meets itself.
     """
-    step = notes.select(F.col("name").alias("at"), link_target(F.col("superseded_by")).alias("next"), written_day(F.col("valid_from")).alias("since"))
-    step = materialize(step.where("at is not null"), "steps")
     late = (F.col("since") > as_of) if as_of is not None else F.lit(False)
-    late = F.coalesce(late, F.lit(False))
-    first = starts.select(F.col("name").alias("start")).distinct()
-    no_chain = F.array().cast("array<string>")
-    walk = first.select("start", F.col("start").alias("at"), F.lit(None).cast("string").alias("current"), no_chain.alias("chain"))
-    done = None
-    for _ in range(max_hops):
-        joined = walk.join(step.withColumn("late", late), "at", "left")
-        exists = F.col("late").isNotNull()
-        stopped = ~exists | F.coalesce("late", F.lit(False))
-        # a dangling name is on the chain; a note from the future is not
-        chain = F.when(exists & F.col("late"), F.col("chain")).otherwise(F.concat("chain", F.array("at")))
-        current = F.when(stopped, F.col("current")).otherwise(F.col("at"))
-        go = ~stopped & F.col("next").isNotNull() & ~F.array_contains(chain, F.coalesce("next", F.lit("")))
-        stepped = joined.select("start", F.coalesce("next", "at").alias("at"), current.alias("current"), chain.alias("chain"), go.alias("go"))
-        moved, sums = materialize_with(stepped, "walk", going=F.count_if("go"))
-        ended = moved.where("not go").select("start", "current", "chain")
-        done = ended if done is None else done.unionByName(ended)
-        walk = moved.where("go").select("start", "at", "current", "chain")
+    step = notes.where("name is not null").select(F.col("name").alias("at"), link_target(F.col("superseded_by")).alias("next"), written_day(F.col("valid_from")).alias("since"))
+    step = materialize(step.select("at", "next", F.coalesce(late, F.lit(False)).alias("late")), "steps")
+    ahead = step.select(F.col("at").alias("next"), F.col("late").alias("next_late"))
+    first = step.where("not late").join(ahead, "next", "left")
+    goes = F.col("next").isNotNull() & (F.col("next") != F.col("at"))
+    lost = goes & F.col("next_late").isNull()
+    path = F.when(lost, F.array("at", "next")).otherwise(F.array("at"))
+    onward = F.when(goes & ~F.col("next_late"), F.col("next"))
+    paths = materialize(first.select("at", path.alias("path"), lost.alias("lost"), onward.alias("to")), "paths")
+    while True:
+        more = paths.select(F.col("at").alias("to"), F.col("path").alias("tail"), F.col("lost").alias("tail_lost"), F.col("to").alias("tail_to"))
+        meets = F.array_position(F.transform("tail", lambda x: F.array_contains("path", x)), True)
+        grown = paths.where("to is not null").join(more, "to").withColumn("meets", meets)
+        whole = F.col("meets") == 0
+        kept = F.when(whole, F.col("tail")).otherwise(F.slice("tail", F.lit(1), (F.col("meets") - 1).cast("int")))
+        longer = grown.select("at", F.concat("path", kept).alias("path"), (whole & F.col("tail_lost")).alias("lost"), F.when(whole, F.col("tail_to")).alias("to"))
+        step_, sums = materialize_with(paths.where("to is null").unionByName(longer), "paths", going=F.count_if(F.col("to").isNotNull()))
+        release(paths)
+        paths = step_
         if not sums["going"]:
-            return done.select("start", "current", "chain", F.greatest(F.size("chain") - 1, F.lit(0)).alias("hops"))
+            break
+    reached = paths.select("at", "path", F.element_at("path", F.when(F.col("lost"), -2).otherwise(-1)).alias("current"))
+    begun = starts.select(F.col("name").alias("start")).where("start is not null").distinct()
+    found = begun.join(step.select(F.col("at").alias("start"), "late"), "start", "left").join(reached.withColumnRenamed("at", "start"), "start", "left")
+    none = F.when(F.col("late"), F.array().cast("array<string>")).otherwise(F.array("start"))
+    out = materialize(found.select("start", "current", F.coalesce("path", none).alias("chain")), "resolved")
     release(step)
-    raise RuntimeError(f"chains longer than {max_hops}")
+    release(paths)
+    return out.withColumn("hops", F.greatest(F.size("chain") - 1, F.lit(0)))
 
 
 def current_entities(notes: DataFrame) -> DataFrame:

@@ -19,20 +19,28 @@ def idf(counts: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
+#: Documents of one term that meet a query in one task; terms in more are split by document.
+BLOCK = 50_000
+
+
 def weights(counts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``key, term, w`` of unit length; terms the index does not know are dropped."""
-    raw = counts.join(terms.select("term", "idf"), "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+    """``key, term, w, parts`` of unit length; terms the index does not know are dropped. ``parts`` is into how many parts
+    the term's documents are split when they meet queries. ``counts`` is read twice: pass a table that is kept."""
+    parts = F.ceil(F.col("df") / BLOCK).cast("int").alias("parts")
+    raw = counts.join(terms.select("term", "idf", parts), "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
     norms = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return raw.join(norms, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"), "parts")
 
 
 def most_similar(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query, key, score, rank``: up to ``k`` documents of positive score per query, itself excluded; ties by key.
 
-    ``index`` and ``queries`` are weight tables. Scores are summed per (query, document) before anything is ranked, and
+    ``index`` and ``queries`` are weight tables over the same terms. A term of many documents meets its queries in several
+    tasks, the queries being repeated for each part. Scores are summed per (query, document) before anything is ranked, and
     the rank is limited before its shuffle.
     """
-    q = queries.select(F.col("key").alias("query"), "term", F.col("w").alias("qw"))
-    scores = index.join(q, "term").where(F.col("key") != F.col("query")).groupBy("query", "key").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    q = queries.select(F.col("key").alias("query"), "term", F.col("w").alias("qw"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    x = index.select("key", "term", "w", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    scores = x.join(q, ["term", "part"]).where(F.col("key") != F.col("query")).groupBy("query", "key").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "key")
     return scores.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

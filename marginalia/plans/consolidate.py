@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from marginalia.sources.stores import Patch
 
 # The section kept up to date, days a report looks back, days and notes a brief looks at.
 SECTION, WINDOW, LOOK_BACK, SALIENT, THREADS = "## Recent activity", 14, 3, 6, 20
+# Words of the titles under which open threads stand.
+OPEN = ["open thread", "recent activity"]
 
 
 def recent_sessions(notes: DataFrame, today: Column, days: int = WINDOW) -> DataFrame:
@@ -58,10 +62,14 @@ def signal_lines(notes: DataFrame) -> DataFrame:
     return signal_files(notes).select("rel_path", F.posexplode(bullet_lines(F.col("content"))).alias("pos", "line"))
 
 
+def bucketed(lines: DataFrame) -> DataFrame:
+    """``bucket, rel_path, pos, line``: every signal with its bucket; a report orders them by file and line."""
+    return lines.select(bucket(F.col("line")).alias("bucket"), "rel_path", "pos", "line")
+
+
 def reflection(lines: DataFrame) -> DataFrame:
-    """``bucket, n, lines``: signals by bucket, in order of file and line."""
-    rows = lines.withColumn("bucket", bucket(F.col("line"))).groupBy("bucket").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rel_path", "pos", "line"))).alias("l"))
-    return rows.select("bucket", "n", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lines"))
+    """``bucket, n``: signals by bucket, counted before they shuffle."""
+    return bucketed(lines).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def domain_signals(lines: DataFrame, domain: str, most: int = 12) -> DataFrame:
@@ -73,12 +81,12 @@ def domain_signals(lines: DataFrame, domain: str, most: int = 12) -> DataFrame:
     return lines.where(about).orderBy(F.desc("rel_path"), "pos").limit(most)
 
 
-def brief_evidence(notes: DataFrame, salience: DataFrame, today: Column, days: int = LOOK_BACK) -> tuple[DataFrame, DataFrame, DataFrame]:
+def brief_evidence(notes: DataFrame, salience: DataFrame, today: Column, days: int = LOOK_BACK, titles: Sequence[str] = OPEN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """I16: (recent signal files, top salient notes, their open threads): what a nightly brief is written from."""
     since = F.date_format(F.date_sub(today, days), "yyyy-MM-dd")
     recent = signal_files(notes).where(note_day(F.col("valid_from"), F.col("date"), F.col("name")) >= since).select("rel_path", "name", "content")
     top = salience.orderBy(F.desc("recall_count"), "note_name").limit(SALIENT)
-    threads = notes.join(top, notes["name"] == top["note_name"]).select("name", F.posexplode(section_bullets(F.col("content"), ["open thread", "recent activity"])).alias("pos", "thread"))
+    threads = notes.join(top, notes["name"] == top["note_name"]).select("name", F.posexplode(section_bullets(F.col("content"), titles)).alias("pos", "thread"))
     return recent, top, threads.orderBy("name", "pos").limit(THREADS)
 
 

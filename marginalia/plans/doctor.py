@@ -41,7 +41,7 @@ def layout(notes: DataFrame) -> DataFrame:
 def checks(notes: DataFrame, stale: DataFrame | None = None) -> DataFrame:
     """``name, status, message`` for counts, frontmatter, sessions, graph, dates and interrupted batches."""
     one = by_name(notes).select("name")
-    edges = link_edges(notes)
+    edges = link_edges(notes, self_loops=True)
     lonely = isolates(one, edges).agg(F.count("*").alias("isolates"))
     wide = kind_counts(notes).crossJoin(lonely).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(one.agg(F.count("*").alias("nodes"))).crossJoin(layout(notes))  # five rows of one
     share = F.when(F.col("nodes") > 0, 100 * F.col("isolates") / F.col("nodes")).otherwise(0.0)

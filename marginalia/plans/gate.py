@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import in_directory
 from marginalia.operators import conflict, tfidf
+from marginalia.session import materialize
 
 
 def applies(rel_path: Column) -> Column:
@@ -19,13 +20,13 @@ def advise(written: DataFrame, notes: DataFrame, k: int = 5) -> DataFrame:
     (rel_path, name, content, metadata)``, many at a time: one term join serves them all. A note is not compared with itself."""
     new = written.where(applies(F.col("rel_path")))
     docs = notes.select("rel_path", F.concat_ws(" ", "content", "name").alias("text"))
-    counts = tfidf.term_counts(docs, "rel_path", "text")
+    counts = materialize(tfidf.term_counts(docs, "rel_path", "text"), "counts")
     terms = tfidf.idf(counts, docs.count())
-    q = tfidf.weights(tfidf.term_counts(new.select("new_id", F.concat_ws(" ", "raw_text", "name").alias("text")), "new_id", "text"), terms)
-    top = tfidf.most_similar(tfidf.weights(counts, terms), q.withColumn("key", F.col("key").cast("string")), k + 1)
-    pairs = top.select(F.col("query").alias("new_id"), F.col("key").alias("rel_path"), "score")
+    q = tfidf.weights(tfidf.term_counts(new.select("rel_path", F.concat_ws(" ", "raw_text", "name").alias("text")), "rel_path", "text"), terms)
+    top = tfidf.most_similar(tfidf.weights(counts, terms), q, k)
+    pairs = top.select(F.col("query").alias("own"), F.col("key").alias("rel_path"), "score")
     old = notes.select("rel_path", F.col("metadata").alias("old_meta"))
     mine = new.select(F.col("new_id").cast("string").alias("new_id"), F.col("rel_path").alias("own"), F.col("metadata").alias("new_meta"))
-    found = conflict.prefilter(pairs.join(mine, "new_id").where(F.col("own") != F.col("rel_path")).join(old, "rel_path"))
+    found = materialize(conflict.prefilter(pairs.join(mine, "own").join(old, "rel_path")), "found")
     verdicts = conflict.propose(found).join(conflict.conflict_summary(found), "new_id", "left")
     return mine.select("new_id").join(verdicts, "new_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("ADD")))

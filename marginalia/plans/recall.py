@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import entity_keys
 from marginalia.operators.graph import cosine, pagerank
 from marginalia.operators.lanes import LaneRules, visible
-from marginalia.operators.temporal import resolve
+from marginalia.operators.temporal import resolve, resolved_seeds
 from marginalia.operators.vector import best_per_note, dense_top, seed_weights
+from marginalia.session import materialize
 
 # Fusion weights, chunks fetched, seeds kept, results, damping, and the similarity below which a recall abstains.
 W_DENSE, W_RANK, W_SPECTRAL, FETCH, SEEDS, RESULTS, ALPHA, FLOOR = 1.0, 0.15, 0.05, 24, 8, 8, 0.85, 0.64
@@ -28,40 +29,42 @@ class Recall:
     degraded: bool = False
     max_dense: float | None = None
     seeds: list[str] = field(default_factory=list)
+    hops: list[tuple[str, str]] = field(default_factory=list)
     note: str = ""
 
     def to_text(self) -> str:
         """B33."""
         lines = ["(abstained: nothing is similar enough)"] if self.abstained else []
         lines += [f"(degraded: {self.note})"] if self.degraded else []
+        lines += [f"({a} is superseded by {b})" for a, b in self.hops]
         for i, h in enumerate(self.hits.collect(), 1):
             lines.append(f"{i}. [[{h['name']}]] {h['score']:.3f}" + (" (superseded)" if h["superseded"] else "") + (f" — {h['best_section']}" if h["best_section"] else ""))
         return "\n".join(lines) or "(nothing)"
 
 
 def mentioned(names: DataFrame, query: str) -> DataFrame:
-    """Names one of whose keys stands in the query as whole words. The query's words and runs of words are a small
-    literal set, so the match is a test in the scan; keys of other separators are compared after turning them to blanks."""
+    """Names one of whose keys, however long, stands in the query as whole words. The query is one literal, so the match
+    is a test in the scan; keys of other separators are compared after turning them to blanks."""
     import re
 
-    w = re.findall(r"[^\W_]+(?:'[^\W_]+)?", query.lower())
-    runs = sorted({" ".join(w[i : i + n]) for n in range(1, 9) for i in range(len(w) - n + 1)})
+    words = F.lit(f" {' '.join(re.findall(r"[^\W_]+(?:'[^\W_]+)?", query.lower()))} ")
     plain = F.transform(entity_keys(F.col("name")), lambda k: F.trim(F.regexp_replace(k, r"[^\p{L}\p{N}']+", " ")))
-    hit = F.arrays_overlap(plain, F.array(*[F.lit(r) for r in runs])) if runs else F.lit(False)
-    return names.where(hit)
+    return names.where(F.exists(plain, lambda k: (k != "") & F.contains(words, F.concat(F.lit(" "), k, F.lit(" ")))))
 
 
 def boot(notes: DataFrame, edges: DataFrame, query: str, top: int = 8, alpha: float = ALPHA, **ranking) -> Recall:
     """Rank notes by a walk that restarts at the current versions of the entities the query mentions; without any,
     by plain PageRank, abstaining. Superseded notes are not shown. ``notes`` has one row per name."""
-    named = mentioned(notes.select("name"), query)
-    now = resolve(notes, named).where("current is not null").select(F.col("current").alias("name")).distinct()
-    seeds = sorted(r["name"] for r in now.limit(1_000).collect())  # names in one query, for the report
-    ranks = pagerank(notes, edges, now.withColumn("weight", F.lit(1.0)) if seeds else None, alpha, **ranking)
+    named = materialize(mentioned(notes.select("name"), query), "named")
+    now = resolve(notes, named)
+    moved = resolved_seeds(named, now)
+    seeds = sorted(r["name"] for r in moved.collect())  # the entities one query names
+    hops = [(r["start"], r["current"]) for r in now.where("current <> start").orderBy("start").collect()]
+    ranks = pagerank(notes, edges, moved.select("name", F.lit(1.0).alias("weight")) if seeds else None, alpha, **ranking)
     superseded = F.coalesce("superseded_by", F.lit("")) != ""
     hits = notes.join(ranks, "name").where(~superseded & (F.col("rank") > 0)).orderBy(F.desc(F.round("rank", 12)), "rel_path").limit(top)
     shaped = hits.select("name", "rel_path", F.col("rank").alias("score"), F.lit(None).cast("double").alias("dense_sim"), F.col("rank").alias("ppr_score"), F.lit(False).alias("superseded"), F.lit(None).cast("string").alias("best_section"))
-    return Recall(shaped, not seeds, seeds=seeds)
+    return Recall(shaped, not seeds, seeds=seeds, hops=hops)
 
 
 def fuse(dense: DataFrame, ranks: DataFrame, nodes: DataFrame, anchor: Sequence[float] | None) -> DataFrame:
@@ -84,7 +87,7 @@ def recall(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, ve
     they are ranked. The recall abstains if the best visible similarity is below ``floor``.
     """
     seen = visible(F.col("lane"), F.col("rel_path"), lane, rules)
-    allowed = nodes.where(seen)
+    allowed = materialize(nodes.where(seen).select("name", "rel_path", "lane", "superseded", "spectral"), "allowed")  # asked for at every seam
     hits = dense_top(chunks.where(seen), vector, m, lane)
     best = best_per_note(hits).join(allowed.select(F.col("name").alias("note_name")), "note_name", "left_semi")
     best = best.sparkSession.createDataFrame(best.collect(), best.schema)  # at most m rows
@@ -94,7 +97,8 @@ def recall(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, ve
     named = mentioned(allowed.select("name"), query).withColumn("weight", F.lit(max(top, 1e-9)))
     seeds = dense_seeds.unionByName(named).groupBy("name").agg(F.max("weight").alias("weight"))
     inside = edges.join(allowed.select(F.col("name").alias("src")), "src", "left_semi").join(allowed.select(F.col("name").alias("dst")), "dst", "left_semi")
-    names = sorted(r["name"] for r in seeds.limit(1_000).collect())
+    seeds = materialize(seeds, "seeds")
+    names = sorted(r["name"] for r in seeds.collect())  # the entities one query names and the nearest notes
     ranks = pagerank(allowed, inside, seeds if names else None, ALPHA, **ranking)
     strongest = max(rows, key=lambda r: (r["weight"], r["name"]), default=None)
     anchor = allowed.where(F.col("name") == strongest["name"]).select("spectral").first() if strongest else None

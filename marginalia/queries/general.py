@@ -93,6 +93,14 @@ SQL = {
     "p4_found": _ENTITIES + """SELECT DISTINCT entity, name AS version, strftime(day, '%Y-%m-%d') AS valid_from,
   coalesce(strftime(lead(day) OVER (PARTITION BY component ORDER BY day, name), '%Y-%m-%d'), '') AS valid_to
 FROM dated JOIN groups USING (component) WHERE day IS NOT NULL""",
+    "p4_history": """
+WITH log AS (
+  SELECT 0 AS src, note_id, name, valid_from, superseded_by, deleted, seen_at FROM notes WHERE starts_with(name, 'entity-')
+  UNION SELECT 1, note_id, name, valid_from, superseded_by, deleted, seen_at FROM seed_notes WHERE starts_with(name, 'entity-')),
+state AS (SELECT *, {'a': name, 'b': valid_from, 'c': superseded_by, 'd': deleted} AS s FROM log WHERE seen_at IS NOT NULL),
+old AS (SELECT *, lag(s) OVER w AS was, row_number() OVER w AS i FROM state WINDOW w AS (PARTITION BY src, note_id ORDER BY seen_at)),
+new AS (SELECT *, lead(seen_at) OVER (PARTITION BY src, note_id ORDER BY seen_at) AS until FROM old WHERE i = 1 OR was IS DISTINCT FROM s)
+SELECT src, note_id, name, valid_from, superseded_by, deleted, seen_at::VARCHAR AS from_seen, until::VARCHAR AS to_seen, until IS NULL AS is_open FROM new""",
     "p5_found": _ENTITIES + f""",
 session AS (SELECT note_id, max_by(name, seen_at) AS name, arg_max_null(date, seen_at) AS date, arg_max_null(touches, seen_at) AS touches, max_by(coalesce(deleted, false), seen_at) AS gone
   FROM notes WHERE name LIKE 'session-%' GROUP BY note_id),

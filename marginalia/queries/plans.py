@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.links import target_set
 from marginalia.functions.text import BUCKETS, NAME_STOP_WORDS
 from marginalia.operators import bookkeeping, graph
 from marginalia.operators.vault_state import by_name, current_notes
@@ -12,8 +13,11 @@ from marginalia.plans import build, consolidate, doctor, gate, migrate, recall,
 from marginalia.queries.general import _TARGET, _day
 from marginalia.queries.tables import table, vault_log
 from marginalia.queries.vault import RULES, TODAY, WINDOW
-from marginalia.queries.vault_sql import LINKS, LIVE, SEEN, _in
+from marginalia.queries.vault_sql import LINKS, LIVE, PROPOSED, SEEN, _in, candidates, ranks
+from marginalia.session import materialize
 
+#: Where the open threads of these vaults stand.
+OPEN_TITLES = ["open point", "next step"]
 _EVERYTHING = ["rel_path", "name", "metadata", "content", "raw_text", "touches", "valid_from", "valid_until", "superseded_by", "date"]
 MIGRATION = [
     migrate.Rule("sessions", "**/sessions/*.md", "sessions", "session", "date_prefixed"),
@@ -76,10 +80,18 @@ def domain_signals(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.domain_signals(consolidate.signal_lines(_notes(spark, d)), "report").select("rel_path", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
-def brief_threads(spark: SparkSession, d: str) -> DataFrame:
-    notes = by_name(_notes(spark, d))
+def _brief(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     salience = bookkeeping.salience(bookkeeping.retrievals(table(spark, d, "retrieval_log")))
-    return consolidate.brief_evidence(notes, salience, F.lit(TODAY).cast("date"))[1]
+    return consolidate.brief_evidence(by_name(_notes(spark, d)), salience, F.lit(TODAY).cast("date"), WINDOW, OPEN_TITLES)
+
+
+def brief_threads(spark: SparkSession, d: str) -> DataFrame:
+    """The open threads of the most salient notes; in these vaults they stand under "Open points" and "Next steps"."""
+    return _brief(spark, d)[2].select("name", F.col("pos").cast("bigint").alias("pos"), "thread")
+
+
+def brief_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _brief(spark, d)[0].select("rel_path", "name")
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +119,10 @@ def retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unknown_gold(spark: SparkSession, d: str) -> DataFrame:
-    return scores.unknown_gold(_probes(spark, d), by_name(_notes(spark, d)))
+    """A probe per session that asks for what the session touches: the names among it that no note has."""
+    notes = by_name(_notes(spark, d))
+    probes = notes.where(F.col("name").startswith("session-")).select(F.col("name").alias("id"), target_set(F.col("touches")).alias("gold"))
+    return scores.unknown_gold(probes, notes)
 
 
 def migration_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -119,15 +134,16 @@ def migration_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def write_advice(spark: SparkSession, d: str) -> DataFrame:
-    """Advice for every note whose id is divisible by 100, as if it were written now."""
-    notes = _notes(spark, d)
-    written = notes.where(F.col("note_id") % 100 == 0).select(F.col("note_id").alias("new_id"), "rel_path", "name", "raw_text", "metadata")
+    """Advice on every note the gate applies to that was written on the report's day or later, against all notes."""
+    notes = materialize(_notes(spark, d).select("note_id", "rel_path", "name", "raw_text", "metadata", "content", "seen_at"), "notes")
+    written = notes.where(F.col("seen_at") >= F.lit(TODAY).cast("timestamp_ntz")).select(F.col("note_id").alias("new_id"), "rel_path", "name", "raw_text", "metadata")
     return gate.advise(written, notes)
 
 
 def boot_ranking(spark: SparkSession, d: str) -> DataFrame:
-    notes = by_name(_notes(spark, d))
-    return recall.boot(notes, graph.link_edges(notes), "who keeps the wiki index and the vendor list", iterations=10).hits.select("name", F.round("score", 9).alias("score"))
+    notes = materialize(_notes(spark, d), "notes")
+    hits = recall.boot(by_name(notes), graph.link_edges(notes, self_loops=True), "what did the client and the site crew tell the agent").hits
+    return hits.select("name", F.round("score", 9).alias("score"))
 
 
 def recall_fused(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +154,7 @@ def recall_fused(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "vec_chunks").where("size(embedding) = 64").distinct()
     chunks = texts.join(vectors, "id").join(laned, "note_name")
     q = [float(x) for x in vectors.where(~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).orderBy("id").first()["embedding"]]
-    found = recall.recall(nodes, edges, chunks, "handover of the vendor quote", q, "operational", RULES, iterations=10)
+    found = recall.recall(nodes, edges, chunks, "handover of the vendor quote", q, "operational", RULES)
     return found.hits.select("name", F.round("score", 6).alias("score"), F.round("dense_sim", 6).alias("dense_sim"), "superseded", "best_section")
 
 
@@ -146,7 +162,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kind_counts, vault_layout, doctor_checks, session_window, touched_entities, consolidation_blocks, newest_sessions, signal_lines,
-        reflect_buckets, domain_signals, brief_threads, keyword_hits, retrieval_scores, unknown_gold, migration_plan, migration_counts,
+        reflect_buckets, domain_signals, brief_threads, brief_signals, keyword_hits, retrieval_scores, unknown_gold, migration_plan, migration_counts,
         write_advice, boot_ranking, recall_fused,
     )
 }
@@ -194,6 +210,43 @@ points AS (SELECT a.id, h.name, 1.0 AS p FROM asked a JOIN held h USING (word) U
 hits AS (SELECT id, name, sum(p)::DOUBLE AS score, row_number() OVER (PARTITION BY id ORDER BY sum(p) DESC, name) AS rank FROM points GROUP BY id, name QUALIFY rank <= 8)
 """
 
+_BOOT = LINKS + f""",
+asked AS (SELECT name FROM (SELECT name, regexp_replace(lower(name), '^entity-', '') AS base FROM named WHERE NOT regexp_matches(lower(name), '^(session-|signals-)'))
+  WHERE list_has_any(list_append(list_filter(regexp_split_to_array(base, '[-_\\s/]+'), lambda x: length(x) >= 3 AND x NOT IN {_in(NAME_STOP_WORDS)}), base), ['what', 'did', 'the', 'client', 'and', 'site', 'crew', 'tell', 'agent'])),
+step AS (SELECT name AS node, {_TARGET.format('superseded_by')} AS next FROM named),
+walk(start, node, path) AS (SELECT name, name, [name] FROM asked
+  UNION ALL SELECT w.start, n.node, list_append(w.path, n.node) FROM walk w JOIN step s ON s.node = w.node JOIN step n ON n.node = s.next WHERE NOT list_contains(w.path, n.node)),
+ends AS (SELECT start, arg_max(node, len(path)) AS node FROM walk GROUP BY start)
+"""
+
+
+def _slugged(x: str) -> str:
+    bare = f"regexp_replace(regexp_replace(regexp_replace({x}, '\\.md$', '', 'i'), '[^a-zA-Z0-9\\s_-]', '', 'g'), '[\\s_]+', '-', 'g')"
+    return f"coalesce(nullif(regexp_replace(lower(trim({bare}, '-')), '-+', '-', 'g'), ''), 'untitled')"
+
+
+_MIGRATED = LIVE + f""",
+files AS (SELECT *, split_part(rel_path, '/', -1) AS file, regexp_replace(split_part(rel_path, '/', -1), '\\.[^.]*$', '') AS stem,
+  list_filter(list_transform(string_split(rel_path, '/')[2:], lambda p: {_slugged('p')}), lambda p: p <> '') AS inside,
+  CASE WHEN regexp_matches(rel_path, '^([^/]+/)*sessions/[^/]*\\.md$') THEN 'sessions' WHEN regexp_matches(rel_path, '^([^/]+/)*entities/[^/]*\\.md$') THEN 'entities'
+    WHEN regexp_matches(rel_path, '^sessions/([^/]+/)*[^/]*\\.md$') THEN 'root sessions' WHEN regexp_matches(rel_path, '^LearningLayer/[^/]*\\.md$') THEN 'signals'
+    WHEN regexp_matches(rel_path, '^_archive/([^/]+/)*[^/]*\\.md$') THEN 'archive' WHEN regexp_matches(rel_path, '^wiki/([^/]+/)*[^/]*\\.md$') THEN 'wiki'
+    WHEN regexp_matches(rel_path, '^([^/]+/)*[^/]*\\.md$') THEN 'rest' END AS rule,
+  coalesce(nullif(regexp_extract(coalesce(metadata['date'], ''), '^\\d{{4}}-\\d{{2}}-\\d{{2}}'), ''), nullif(regexp_extract(coalesce(metadata['created'], ''), '^\\d{{4}}-\\d{{2}}-\\d{{2}}'), ''),
+    nullif(regexp_extract(coalesce(metadata['valid_from'], ''), '^\\d{{4}}-\\d{{2}}-\\d{{2}}'), ''), nullif(regexp_extract(split_part(rel_path, '/', -1), '\\d{{4}}-\\d{{2}}-\\d{{2}}'), ''), '{TODAY}') AS day,
+  coalesce(metadata['type'] = 'stub', false) OR coalesce(metadata['source'] = 'auto-heal', false)
+    OR (contains(substr(coalesce(content, ''), 1, 400), 'auto-generated because') AND contains(substr(coalesce(content, ''), 1, 400), 'did not exist')) AS stub FROM live),
+acted AS (SELECT *, CASE WHEN contains(file, chr(92)) THEN 'skip' WHEN rule IS NULL THEN 'unmatched' WHEN stub THEN 'stub' WHEN rule = 'archive' THEN 'drop' ELSE 'write' END AS action FROM files),
+planned AS (SELECT rel_path, rule, action, CASE WHEN action = 'write' THEN CASE
+    WHEN rule IN ('sessions', 'root sessions') THEN 'sessions/' || day || '-' || {_slugged('stem')} || '.md'
+    WHEN rule = 'entities' THEN 'entities/entity-' || CASE WHEN len(inside) > 0 THEN array_to_string(inside, '-') ELSE {_slugged('stem')} END || '.md'
+    WHEN rule = 'signals' THEN 'LearningLayer/signals-' || stem || '-old.md'
+    WHEN rule = 'wiki' THEN 'wiki/' || CASE WHEN len(inside) > 0 THEN array_to_string(inside, '/') ELSE {_slugged('stem')} END || '.md'
+    ELSE '_archive/unmatched/' || CASE WHEN len(inside) > 0 THEN array_to_string(inside, '/') ELSE {_slugged('stem')} END || '.md' END END AS target,
+  coalesce(CASE WHEN rule IN ('sessions', 'root sessions') THEN 'session' WHEN rule = 'signals' THEN 'learning-signals' WHEN rule = 'wiki' THEN 'wiki' END, metadata['type'], 'wiki') AS kind,
+  day AS valid_from, 'vault:' || rel_path AS origin FROM acted)
+"""
+
 SQL = {
     "kind_counts": LIVE + "," + _KINDS + "SELECT * FROM kinds",
     "vault_layout": LIVE + "," + _LAYOUT + "SELECT layout FROM shape",
@@ -212,12 +265,28 @@ UNION ALL SELECT 'dates', CASE WHEN entities = 0 THEN 'info' WHEN 100.0 * full_d
     "signal_lines": _SIGNALS + "SELECT rel_path, pos, line FROM sig",
     "reflect_buckets": _SIGNALS + "SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(line), '{'|'.join(w)}') THEN '{b}'" for b, w in BUCKETS.items()) + " ELSE 'other' END AS bucket, count(*) AS n FROM sig GROUP BY 1",
     "domain_signals": _SIGNALS + r"SELECT rel_path, pos, line FROM sig WHERE regexp_matches(lower(line), '#report([^\w-]|$)|\[\[report|(^|[^\w-])report([^\w-]|$)') ORDER BY rel_path DESC, pos LIMIT 12",
-    "brief_threads": SEEN + "SELECT * FROM sal ORDER BY recall_count DESC, note_name LIMIT 6",
+    "brief_threads": SEEN + "," + LIVE.strip().replace("WITH ", "", 1) + r""",
+six AS (SELECT note_name AS name FROM sal ORDER BY recall_count DESC, note_name LIMIT 6),
+parts AS (SELECT name, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM (SELECT name, regexp_split_to_array(regexp_replace(chr(10) || coalesce(content, ''), '\n(#{1,6}[ \t])', chr(1) || '\1', 'g'), chr(1)) AS a FROM named JOIN six USING (name))),
+rows AS (SELECT name, i, unnest(b) AS line, generate_subscripts(b, 1) AS j FROM (SELECT name, i, string_split(p, chr(10))[2:] AS b FROM parts WHERE regexp_matches(lower(regexp_extract(p, '^#{1,6}[ \t]+([^\n]*)', 1)), 'open point|next step'))),
+kept AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY i, j) - 1 AS pos, trim(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^- ', '')) AS thread FROM rows WHERE regexp_matches(line, '^\s*- '))
+SELECT name, pos, thread FROM kept ORDER BY name, pos LIMIT 20""",
+    "brief_signals": LIVE + f"""SELECT rel_path, name FROM named WHERE {_DIR.format('LearningLayer')} AND metadata['type'] = 'learning-signals'
+AND coalesce(nullif(substr(valid_from, 1, 10), ''), nullif(substr(date, 1, 10), ''), regexp_extract(name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1)) >= strftime(DATE '{TODAY}' - {WINDOW}, '%Y-%m-%d')""".replace("\\\\d", "\\d"),
     "keyword_hits": _PROBES + "SELECT id, name, score, rank FROM hits",
     "retrieval_scores": _PROBES + """, j AS (
   SELECT p.category, coalesce((SELECT max(score) < 2 FROM hits h WHERE h.id = p.id), true) AS abstained, (SELECT min(rank) FROM hits h WHERE h.id = p.id AND h.name = p.id AND p.category = 'single-hop') AS first FROM probes p),
 f AS (SELECT category, abstained, first IS NOT NULL AS hit, CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END AS recall, coalesce(1.0 / first, 0.0) AS rr, CASE WHEN category = 'abstention' THEN abstained ELSE first IS NOT NULL END AS passed FROM j),
 a AS (SELECT * FROM f UNION ALL SELECT * REPLACE ('overall' AS category) FROM f WHERE category <> 'abstention')
 SELECT category, count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(avg(recall)::DOUBLE, 6) AS recall, round(avg(rr)::DOUBLE, 6) AS mrr, round(avg(passed::INT), 6) AS pass_rate, round(avg(abstained::INT), 6) AS false_abstain FROM a GROUP BY category""",
-    "unknown_gold": _PROBES + "SELECT id, id AS name FROM probes WHERE category = 'single-hop' AND id NOT IN (SELECT name FROM named)",
+    "unknown_gold": LIVE + f""", gold AS (SELECT DISTINCT name AS id, {_TARGET.format("t")} AS name FROM (SELECT name, unnest(touches) AS t FROM named WHERE starts_with(name, 'session-')))
+SELECT id, name FROM gold WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM named)""",
+    "write_advice": candidates("SELECT note_id, concat_ws(' ', raw_text, name) AS t FROM written").replace("live AS (", "live AS MATERIALIZED (", 1).replace("words AS (", f"""written AS (SELECT * FROM live WHERE seen_at >= TIMESTAMP '{TODAY}'
+  AND (regexp_matches(split_part(rel_path, '/', -1), '^entity-.*\\.md$') OR ({_DIR.format('LearningLayer')} AND ends_with(rel_path, '.md')))),
+words AS (""", 1) + "," + PROPOSED + """SELECT note_id::VARCHAR AS new_id, coalesce(verdict, 'ADD') AS verdict, target_path, summary
+FROM written LEFT JOIN proposed p ON p.new_id = note_id LEFT JOIN summed s ON s.new_id = note_id""",
+    "boot_ranking": ranks("SELECT DISTINCT f.node AS name FROM ends f", _BOOT) + """SELECT name, round(rank, 9) AS score FROM ranked JOIN named USING (name)
+WHERE coalesce(superseded_by, '') = '' AND rank > 0 ORDER BY round(rank, 12) DESC, rel_path LIMIT 8""",
+    "migration_plan": _MIGRATED + "SELECT rel_path, rule, action, target, kind, valid_from, origin FROM planned",
+    "migration_counts": _MIGRATED + "SELECT rule, action, count(*) AS n FROM planned GROUP BY rule, action",
 }

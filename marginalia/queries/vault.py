@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import chunks as chunking
 from marginalia.functions import dates, text
+from marginalia.functions.fold import fold
 from marginalia.operators import bookkeeping, conflict, graph, index, lanes, temporal, tfidf, vector
 from marginalia.operators.vault_state import by_name, current_notes, duplicate_names
 from marginalia.queries.tables import table, vault_log
+from marginalia.session import materialize
 
 #: The days and limits the report queries use.
 TODAY, WINDOW, AS_OF, CUT = "2026-06-30", 120, "2025-06-30", "2025-12-31 00:00:00"
@@ -40,10 +42,11 @@ def link_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     notes = notes_of(spark, d, "rel_path", "name", "metadata", "touches", "content")
-    return by_name(notes).select("name", "rel_path"), graph.link_edges(notes)
+    return by_name(notes).select("name", "rel_path"), graph.link_edges(notes, self_loops=True)
 
 
 def edge_build(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of the boot walk, with the links each edge stands for."""
     return _graph(spark, d)[1]
 
 
@@ -61,9 +64,9 @@ def lane_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lane_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The graph a retrieval may walk: no edge between two lanes, nothing quarantined."""
+    """The graph a retrieval may walk: no edge between two lanes, nothing quarantined, no note linked to itself."""
     kept = _lanes(spark, d).where(~F.col("rel_path").isin(list(RULES.quarantined)))
-    return graph.cut_lanes(_graph(spark, d)[1], kept)
+    return graph.cut_lanes(_graph(spark, d)[1].where("src <> dst"), kept)
 
 
 def lane_visible(spark: SparkSession, d: str) -> DataFrame:
@@ -77,13 +80,13 @@ def bridge_detect(spark: SparkSession, d: str) -> DataFrame:
 
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    return graph.pagerank(nodes, edges, iterations=10).select("name", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nodes, edges).select("name", F.round("rank", 9).alias("rank"))
 
 
 def ppr_seeded(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
     seeds = nodes.where(F.col("name").startswith("signals-")).select("name", F.lit(1.0).alias("weight"))
-    return graph.pagerank(nodes, edges, seeds, iterations=10).select("name", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(nodes, edges, seeds).select("name", F.round("rank", 9).alias("rank"))
 
 
 def spectral(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +114,7 @@ def current_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def _terms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    counts = tfidf.term_counts(docs, "doc_id", "text")
+    counts = materialize(tfidf.term_counts(docs, "doc_id", "text"), "counts")
     return counts, tfidf.idf(counts, docs.count())
 
 
@@ -121,16 +124,16 @@ def tfidf_idf(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_knn(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar documents of every document whose id is divisible by 100, among all."""
-    w = tfidf.weights(*_terms(spark, d))
+    w = materialize(tfidf.weights(*_terms(spark, d)), "weights")
     top = tfidf.most_similar(w, w.where(F.col("key") % 100 == 0), 5)
     return top.select(F.col("query").alias("doc_id"), F.col("key").alias("other"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    notes = notes_of(spark, d, "rel_path", "name", "content", "metadata", "superseded_by")
+    notes = materialize(notes_of(spark, d, "rel_path", "name", "content", "metadata", "superseded_by"), "notes")
     docs = notes.select("note_id", F.concat_ws(" ", "content", "name").alias("text"))
-    counts = tfidf.term_counts(docs, "note_id", "text")
-    w = tfidf.weights(counts, tfidf.idf(counts, docs.count()))
+    counts = materialize(tfidf.term_counts(docs, "note_id", "text"), "counts")
+    w = materialize(tfidf.weights(counts, tfidf.idf(counts, docs.count())), "weights")
     top = tfidf.most_similar(w, w.where(F.col("key") % 100 == 0), 5).select(F.col("query").alias("new_id"), F.col("key").alias("note_id"), F.round("score", 9).alias("score"))
     new = notes.select(F.col("note_id").alias("new_id"), F.col("name").alias("new_name"), F.col("metadata").alias("new_meta"))
     old = notes.select("note_id", "rel_path", "name", "superseded_by", F.col("metadata").alias("old_meta"))
@@ -246,8 +249,7 @@ def intent_state(spark: SparkSession, d: str) -> DataFrame:
     before = index.source_map(_as_of_cut(spark, d)).withColumnRenamed("hash", "pre_hash")
     after = index.source_map(notes_of(spark, d, "rel_path", "raw_text"))
     t = before.join(after.withColumnRenamed("hash", "post_hash"), "rel_path", "full_outer")
-    batch = t.groupBy(F.substring_index("rel_path", "/", 1).alias("intent_id")).agg(F.collect_list(F.struct("rel_path", "pre_hash", "post_hash")).alias("targets"))
-    return index.intent_states(batch, after)
+    return index.target_states(t.select(F.substring_index("rel_path", "/", 1).alias("intent_id"), "rel_path", "pre_hash", "post_hash"), after)
 
 
 def fault_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -310,11 +312,16 @@ def stub_notes(spark: SparkSession, d: str) -> DataFrame:
     return notes_of(spark, d, "rel_path", "metadata", "content").select("note_id", text.is_stub(m["type"], m["source"], F.col("content")).alias("stub"))
 
 
+def look_alikes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with accents and look-alike letters folded away, hashed."""
+    return table(spark, d, "documents").select("doc_id", text.digest(fold(F.col("text"))).alias("hash"))
+
+
 def neutralize(spark: SparkSession, d: str) -> DataFrame:
-    """Every bullet of a session made safe to quote as reference material."""
-    lines = notes_of(spark, d, "rel_path", "metadata").where("metadata is not null").select("note_id", F.explode(F.map_entries("metadata")).alias("e"))
-    line = F.concat(F.col("e.key"), F.lit(": "), F.coalesce("e.value", F.lit("")))
-    return lines.select("note_id", line.alias("line"), text.neutralize(line).alias("safe"))
+    """Every bullet and every ``key: value`` line of a session's text made safe to quote as reference material."""
+    lines = F.filter(F.split(F.coalesce("raw_text", F.lit("")), "\n"), lambda x: x.rlike(r"^\s*- |^[\w-]+:"))
+    rows = notes_of(spark, d, "name", "raw_text").where(F.col("name").startswith("session-")).select("note_id", F.posexplode(lines).alias("pos", "line"))
+    return rows.select("note_id", F.col("pos").cast("bigint").alias("pos"), text.neutralize(fold(F.col("line"))).alias("safe"))
 
 
 QUERIES = {
@@ -324,6 +331,6 @@ QUERIES = {
         spectral, resolve_current, resolve_as_of, current_entities, tfidf_idf, tfidf_knn, conflict_prefilter, propose_write, classify_write,
         conflict_summary, dense_topk, dense_topk_lane, dense_batch, max_per_note, seed_weights, salience, salience_top, co_retrieval, log_stats,
         link_proposals, stale_flags, manifest_diff, index_work, vault_rev, intent_state, fault_scan, duplicate_name, folder_counts, excerpts,
-        slugs, date_coerce, fm_normalize, entity_keys, note_chunks, note_sections, stub_notes, neutralize,
+        slugs, date_coerce, fm_normalize, entity_keys, note_chunks, note_sections, stub_notes, look_alikes, neutralize,
     )
 }

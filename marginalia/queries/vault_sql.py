@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from marginalia.functions.text import NAME_STOP_WORDS, STOP_WORDS, VOLATILE_KEYS
+import unicodedata
+
+from marginalia.functions.fold import COLONS, LOOK_ALIKES, ZERO_WIDTH
+from marginalia.functions.text import MARK, NAME_STOP_WORDS, ROLE_WORDS, STOP_WORDS, TAG_WORDS, VOLATILE_KEYS
 from marginalia.queries.general import _TARGET, _day
 
 LINK = r"\[\[([^\]|#]+?)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
 
 
+def folded(x: str) -> str:
+    """Folding in SQL: letters below U+3000 that turn into one letter or none by ``translate``, the others one by one."""
+    single: dict[str, str] = dict.fromkeys(ZERO_WIDTH, "") | dict.fromkeys(COLONS, ":")
+    several: dict[str, str] = {}
+    for c in map(chr, range(0x80, 0x3000)):
+        if c not in single and unicodedata.category(c) != "Cn":
+            plain = "".join(LOOK_ALIKES.get(p, ":" if p in COLONS else p) for p in unicodedata.normalize("NFKD", c) if unicodedata.combining(p) == 0)
+            if plain != c:
+                (single if len(plain) < 2 else several)[c] = plain
+    kept = [c for c, p in single.items() if p]
+    gone = [c for c, p in single.items() if not p]
+    out = f"translate({x}, '{''.join(kept + gone)}', '{''.join(single[c] for c in kept).replace(chr(39), chr(39) * 2)}')"
+    return out if not several else "replace(" * len(several) + out + "".join(f", '{c}', '{p.replace(chr(39), chr(39) * 2)}')" for c, p in several.items())
+
+
 def _in(words: list[str]) -> str:
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
@@ -23,7 +41,8 @@ LINKS = LIVE + f""",
 strings AS (
   SELECT name AS src, content AS t FROM live UNION ALL SELECT name, unnest(map_values(metadata)) FROM live UNION ALL SELECT name, unnest(touches) FROM live),
 links AS (SELECT src, trim(unnest(regexp_extract_all(t, '{LINK}', 1))) AS dst FROM strings),
-edges AS (SELECT DISTINCT l.src, l.dst FROM links l JOIN named n ON n.name = l.dst WHERE l.src <> l.dst AND l.src IS NOT NULL)
+counted AS (SELECT l.src, l.dst, count(*) AS n FROM links l JOIN named n ON n.name = l.dst WHERE l.src IS NOT NULL GROUP BY ALL),
+edges AS (SELECT src, dst FROM counted)
 """
 _WORD = r"(^|[^a-z0-9]){0}([^a-z0-9]|$)"
 
@@ -46,18 +65,16 @@ laned AS (SELECT name, rel_path, CASE
 """
 
 
-def _ranks(seeded: bool) -> str:
-    p = "CASE WHEN starts_with(name, 'signals-') THEN 1.0 / (SELECT count(*) FROM named WHERE starts_with(name, 'signals-')) ELSE 0 END" if seeded else "1.0 / (SELECT count(*) FROM named)"
-    out = LINKS + f""",
-deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY src),
-base AS MATERIALIZED (SELECT name, CAST({p} AS DOUBLE) AS p, deg FROM named LEFT JOIN deg ON src = name),
-r0 AS MATERIALIZED (SELECT name, 1.0::DOUBLE / (SELECT count(*) FROM named) AS x FROM named)"""
-    for i in range(10):
-        out += f""",
-f{i} AS MATERIALIZED (SELECT e.dst AS name, sum(r.x / b.deg) AS y FROM edges e JOIN r{i} r ON r.name = e.src JOIN base b ON b.name = e.src GROUP BY e.dst),
-d{i} AS MATERIALIZED (SELECT coalesce(sum(r.x), 0) AS m FROM r{i} r JOIN base b USING (name) WHERE b.deg IS NULL),
-r{i + 1} AS MATERIALIZED (SELECT b.name, 0.85 * (coalesce(f.y, 0) + d.m * b.p) + 0.15 * b.p AS x FROM base b LEFT JOIN f{i} f USING (name), d{i} d)"""
-    return out + " SELECT name, round(x, 9) AS rank FROM r10"
+def ranks(seeds: str | None, before: str = LINKS) -> str:
+    """A table ``ranked(name, rank)``; ``seeds`` is a query of names, all of one weight."""
+    p = f"SELECT name, 1.0::DOUBLE / count(*) OVER () AS y FROM ({seeds or 'SELECT name FROM named'}) AS s"
+    return before.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ways AS MATERIALIZED (SELECT src, dst, 0.85::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM edges WHERE src IN (SELECT name FROM named)),
+flow(k, name, y) AS (SELECT 0, name, y FROM ({p}) AS p
+  UNION ALL SELECT f.k + 1, w.dst, sum(f.y * w.share) FROM flow f JOIN ways w ON w.src = f.name
+  WHERE f.k = 0 OR (SELECT sum(y) FROM flow) >= 1e-6 * (SELECT count(*) FROM named) GROUP BY f.k + 1, w.dst),
+ranked AS (SELECT n.name, coalesce(sum(y), 0) / (SELECT sum(y) FROM flow) AS rank FROM named n LEFT JOIN flow f ON f.name = n.name GROUP BY n.name)
+"""
 
 
 def _chain(as_of: str | None) -> str:
@@ -77,23 +94,35 @@ walk(start, current, chain, next, go) AS (
 SELECT start, current, array_to_string(chain, ' > ') AS chain{hops} FROM walk WHERE NOT go"""
 
 
-def _terms(source: str, key: str, text: str) -> str:
+def _terms(source: str, key: str, text: str, asked: str = "SELECT * FROM weights WHERE key % 100 = 0") -> str:
     return f"""
 words AS (SELECT {key} AS key, lower(unnest(regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9''_-]+'))) AS term FROM {source}),
 counts AS (SELECT key, term, count(*) AS tf FROM words WHERE length(term) >= 3 AND term NOT IN {_in(STOP_WORDS)} GROUP BY key, term),
 idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM {source}) + 1.0) / (count(*) + 1.0)) + 1.0 AS idf FROM counts GROUP BY term),
 raw AS (SELECT key, term, (1 + ln(tf)) * idf AS w FROM counts JOIN idf USING (term)),
 weights AS (SELECT key, term, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM raw),
-scores AS (SELECT q.key AS query, x.key AS key, sum(q.w * x.w) AS score FROM weights q JOIN weights x USING (term) WHERE q.key % 100 = 0 AND q.key <> x.key GROUP BY ALL),
+scores AS (SELECT q.key AS query, x.key AS key, sum(q.w * x.w) AS score FROM ({asked}) q JOIN weights x USING (term) WHERE q.key <> x.key GROUP BY ALL),
 top AS (SELECT query, key, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, key) AS rank FROM scores WHERE score > 0 QUALIFY rank <= 5)
 """
 
 
 _VOLATILE = _in(VOLATILE_KEYS)
-_CANDIDATES = LIVE + "," + _terms("live", "note_id", "concat_ws(' ', content, name)") + f""",
+META = f"""
 pairs AS (SELECT note_id, replace(replace(lower(trim(e.key)), '-', '_'), ' ', '_') AS k, lower(trim(e.value)) AS v
   FROM (SELECT note_id, unnest(map_entries(metadata)) AS e FROM live) WHERE e.value IS NOT NULL),
-meta AS (SELECT note_id, k, max(v) AS v FROM pairs WHERE k NOT IN {_VOLATILE} GROUP BY ALL),
+meta AS (SELECT note_id, k, max(v) AS v FROM pairs WHERE k NOT IN {_VOLATILE} GROUP BY ALL)"""
+
+
+def candidates(asked: str | None = None) -> str:
+    """``found`` and ``flagged``: the five notes most like each note asked for. ``asked`` is a query of ``note_id, t``: texts asked
+    with, the weights of whose terms are the index's."""
+    if asked is None:
+        terms = _terms("live", "note_id", "concat_ws(' ', content, name)")
+    else:
+        terms = _terms("live", "note_id", "concat_ws(' ', content, name)", f"""
+SELECT key, term, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM (
+  SELECT key, term, (1 + ln(count(*))) * any_value(idf) AS w FROM (SELECT note_id AS key, lower(unnest(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9''_-]+'))) AS term FROM ({asked})) JOIN idf USING (term) GROUP BY ALL)""")
+    return LIVE + "," + terms + "," + META + """,
 found AS (
   SELECT t.query AS new_id, o.rel_path, o.name, n.name AS new_name, nullif(o.superseded_by, '') AS gone, round(t.score, 9) AS score,
     coalesce((SELECT string_agg(a.k, ',' ORDER BY a.k) FROM meta a JOIN meta b ON a.k = b.k WHERE a.note_id = t.query AND b.note_id = t.key AND a.v <> b.v), '') AS conflicting_keys
@@ -101,6 +130,17 @@ found AS (
 flagged AS (SELECT *, CASE WHEN conflicting_keys <> '' AND score >= 0.35 THEN 'hard_conflict' WHEN score >= 0.75 THEN 'likely_duplicate' ELSE 'unrelated' END AS flag FROM found)
 """
 
+
+_CANDIDATES = candidates()
+PROPOSED = """
+g AS (
+  SELECT new_id, arg_min(rel_path, (-score, rel_path)) FILTER (flag = 'hard_conflict') AS hard, arg_min(rel_path, (-score, rel_path)) FILTER (flag = 'likely_duplicate') AS dup,
+    max(score) FILTER (flag = 'likely_duplicate') AS s FROM flagged GROUP BY new_id),
+proposed AS (SELECT new_id, CASE WHEN hard IS NULL AND s >= 0.95 THEN 'NOOP' WHEN hard IS NULL AND dup IS NULL THEN 'ADD' ELSE 'UPDATE' END AS verdict, coalesce(hard, dup) AS target_path FROM g),
+summed AS (SELECT new_id, string_agg(rel_path || ' on ' || replace(conflicting_keys, ',', ', '), '; ' ORDER BY score DESC, rel_path) AS summary
+  FROM flagged WHERE flag = 'hard_conflict' GROUP BY new_id)
+"""
+
 SEEN = r"""
 WITH once AS (SELECT id, arg_min(results, (ts, session)) AS results, min(ts) AS ts FROM retrieval_log GROUP BY id),
 flat AS (
@@ -129,17 +169,17 @@ diff AS (SELECT coalesce(o.rel_path, n.rel_path) AS rel_path, CASE WHEN o.rel_pa
 SQL = {
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents",
     "link_extract": LINKS + "SELECT src, dst, count(*) AS n FROM links GROUP BY src, dst",
-    "edge_build": LINKS + "SELECT src, dst FROM edges",
+    "edge_build": LINKS + "SELECT src, dst, n FROM counted",
     "isolates": LINKS + "SELECT name FROM named WHERE name NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)",
     "lane_assignment": LIVE + LANES + "SELECT name, rel_path, lane FROM laned",
-    "lane_edges": LINKS + LANES + """SELECT src, dst FROM edges JOIN laned a ON a.name = src JOIN laned b ON b.name = dst
-WHERE (a.lane = b.lane OR a.lane = 'neutral' OR b.lane = 'neutral') AND a.rel_path <> 'wiki/index.md' AND b.rel_path <> 'wiki/index.md'""",
+    "lane_edges": LINKS + LANES + """SELECT src, dst, n FROM counted JOIN laned a ON a.name = src JOIN laned b ON b.name = dst
+WHERE src <> dst AND (a.lane = b.lane OR a.lane = 'neutral' OR b.lane = 'neutral') AND a.rel_path <> 'wiki/index.md' AND b.rel_path <> 'wiki/index.md'""",
     "lane_visible": LIVE + LANES + """SELECT name, lane IN ('thesis', 'neutral') AND rel_path NOT IN ('BOOT.md', 'wiki/index.md') AS seen,
   NOT contains('/' || rel_path, '/_archive/') AND rel_path NOT IN ('BOOT.md', 'wiki/index.md') AS embeddable FROM laned""",
     "bridge_detect": LIVE + f"""SELECT rel_path FROM live WHERE regexp_matches(lower(raw_text), '{_WORD.format("(greenhouse schedule|pump log)")}')
 AND regexp_matches(lower(raw_text), '{_WORD.format("(role charter|radio sheet)")}') AND rel_path NOT IN ('BOOT.md', 'wiki/index.md')""",
-    "pagerank": _ranks(False),
-    "ppr_seeded": _ranks(True),
+    "pagerank": ranks(None) + "SELECT name, round(rank, 9) AS rank FROM ranked",
+    "ppr_seeded": ranks("SELECT name FROM named WHERE starts_with(name, 'signals-')") + "SELECT name, round(rank, 9) AS rank FROM ranked",
     "resolve_current": _chain(None),
     "resolve_as_of": _chain("2025-06-30"),
     "current_entities": LIVE + """SELECT name, metadata['type'] AS type FROM named
@@ -147,12 +187,8 @@ WHERE metadata['type'] IN ('entity', 'project', 'person', 'stakeholder', 'resear
     "tfidf_idf": "WITH" + _terms("documents", "doc_id", "text") + "SELECT term, df, round(idf, 6) AS idf FROM idf",
     "tfidf_knn": "WITH" + _terms("documents", "doc_id", "text") + "SELECT query AS doc_id, key AS other, round(score, 6) AS score, rank FROM top",
     "conflict_prefilter": _CANDIDATES + "SELECT new_id, rel_path, round(score, 6) AS score, flag, conflicting_keys FROM flagged",
-    "propose_write": _CANDIDATES + """, g AS (
-  SELECT new_id, arg_min(rel_path, (-score, rel_path)) FILTER (flag = 'hard_conflict') AS hard, arg_min(rel_path, (-score, rel_path)) FILTER (flag = 'likely_duplicate') AS dup,
-    max(score) FILTER (flag = 'likely_duplicate') AS s FROM flagged GROUP BY new_id)
-SELECT new_id, CASE WHEN hard IS NULL AND s >= 0.95 THEN 'NOOP' WHEN hard IS NULL AND dup IS NULL THEN 'ADD' ELSE 'UPDATE' END AS verdict, coalesce(hard, dup) AS target_path FROM g""",
-    "conflict_summary": _CANDIDATES + """SELECT new_id, string_agg(rel_path || ' on ' || replace(conflicting_keys, ',', ', '), '; ' ORDER BY score DESC, rel_path) AS summary
-FROM flagged WHERE flag = 'hard_conflict' GROUP BY new_id""",
+    "propose_write": _CANDIDATES + "," + PROPOSED + "SELECT * FROM proposed",
+    "conflict_summary": _CANDIDATES + "," + PROPOSED + "SELECT * FROM summed",
     "classify_write": _CANDIDATES + r""", g AS (
   SELECT new_id, any_value(new_name) AS new_name, arg_min(coalesce(gone, rel_path), (-score, rel_path)) FILTER (name = new_name) AS named,
     arg_min(rel_path, (-score, rel_path)) AS path, arg_min(name, (-score, rel_path)) AS tname, max(score) AS s, arg_min_null(gone, (-score, rel_path)) AS gone
@@ -182,7 +218,8 @@ SELECT note_name, recall_count, vf AS valid_from, date_diff('day', day, DATE '20
     "manifest_diff": MANIFEST + "SELECT * FROM diff WHERE change IS NOT NULL",
     "index_work": MANIFEST + "SELECT rel_path, change IN ('changed', 'removed') AS drop, change IN ('added', 'changed') AS build FROM diff WHERE change IS NOT NULL",
     "vault_rev": MANIFEST + """SELECT split_part(rel_path, '/', 1) AS folder,
-  substr(sha256(string_agg(rel_path || chr(0) || h || chr(0), '' ORDER BY rel_path)), 1, 12) AS rev FROM new GROUP BY 1""",
+  substr(sha256(string_agg(g, '' ORDER BY b)), 1, 12) AS rev
+FROM (SELECT split_part(rel_path, '/', 1) AS rel_path, substr(sha256(rel_path), 1, 3) AS b, sha256(string_agg(rel_path || chr(0) || h || chr(0), '' ORDER BY rel_path)) AS g FROM new GROUP BY ALL) GROUP BY 1""",
     "intent_state": MANIFEST + """SELECT split_part(coalesce(o.rel_path, n.rel_path), '/', 1) AS intent_id, coalesce(o.rel_path, n.rel_path) AS rel_path,
   CASE WHEN n.rel_path IS NULL THEN 'missing' ELSE 'patched' END AS state FROM old o FULL JOIN new n ON o.rel_path = n.rel_path""",
     "fault_scan": LIVE + "SELECT rel_path, 'parse' AS kind FROM live WHERE metadata IS NULL",
@@ -209,7 +246,9 @@ s AS (SELECT note_id, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS p
 SELECT note_id, pos, regexp_extract(p, '^#{1,6}[ \t]+([^\n]*)', 1) AS title, length(regexp_replace(p, '^#{1,6}[ \t]+[^\n]*\n?', '')) AS n_chars FROM s""",
     "stub_notes": LIVE + """SELECT note_id, coalesce(metadata['type'] = 'stub', false) OR coalesce(metadata['source'] = 'auto-heal', false)
   OR (contains(substr(coalesce(content, ''), 1, 400), 'auto-generated because') AND contains(substr(coalesce(content, ''), 1, 400), 'did not exist')) AS stub FROM live""",
-    "neutralize": LIVE + r""", l AS (SELECT note_id, e.key || ': ' || coalesce(e.value, '') AS line FROM (SELECT note_id, unnest(map_entries(metadata)) AS e FROM live WHERE metadata IS NOT NULL))
-SELECT note_id, line, regexp_replace(regexp_replace(regexp_replace(line, '\s+$', ''), '(^|[^\w-])(system|assistant|user|developer|tool)[\s*_`~]*:', '\1⟦neutralized⟧ \2 ', 'gi'),
-  '(^|[^\w-])(role|reports_to|model|status|parent_project|red_line|red_lines|guardrail|guardrails|charter|identity|known_issues)[\s*_`~]*:', '\1⟦neutralized⟧ \2 ', 'gi') AS safe FROM l""",
+    "look_alikes": f"SELECT doc_id, substr(sha256({folded('text')}), 1, 16) AS hash FROM documents",
+    "neutralize": LIVE + rf""", lines AS (SELECT note_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS pos
+  FROM (SELECT note_id, list_filter(string_split(coalesce(raw_text, ''), chr(10)), lambda x: regexp_matches(x, '^\s*- |^[\w-]+:')) AS a FROM live WHERE starts_with(name, 'session-')))
+SELECT note_id, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace({folded('line')}, '[\r\n]+', ' ', 'g'), '\s+$', ''), '(^|[^\w-])({'|'.join(ROLE_WORDS)})[\s*_`~]*:', '\1{MARK} \2 ', 'gi'),
+  '(^|[^\w-])({'|'.join(TAG_WORDS)})[\s*_`~]*:', '\1{MARK} \2 ', 'gi') AS safe FROM lines""",
 }

@@ -122,8 +122,8 @@ def test_pagerank_on_a_directed_graph_with_dead_ends(spark):
     want = plain_pagerank(nodes, edges, {n: 1 / 12 for n in nodes}, 100)
     assert all(abs(got[n] - want[n]) < 1e-5 for n in nodes) and abs(sum(got.values()) - 1) < 1e-9
     seeds = spark.createDataFrame([("n3", 1.0), ("n4", 3.0), ("ghost", 9.0), ("n5", -1.0)], "name string, weight double")
-    got = dict(tuples(graph.pagerank(ndf, edf, seeds, iterations=7), "name", "rank"))
-    want = plain_pagerank(nodes, edges, {n: {"n3": 0.25, "n4": 0.75}.get(n, 0) for n in nodes}, 7)
+    got = dict(tuples(graph.pagerank(ndf, edf, seeds, tol=1e-12), "name", "rank"))
+    want = plain_pagerank(nodes, edges, {n: {"n3": 0.25, "n4": 0.75}.get(n, 0) for n in nodes}, 200)
     assert all(abs(got[n] - want[n]) < 1e-9 for n in nodes)
 
 
