@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.session import materialize
 
-#: Documents of a source that one window orders, on average.
-BLOCK = 20_000
+#: Documents of one source and size that one window orders, on average, and the most rows that are broadcast.
+BLOCK, SMALL = 20_000, 100_000
 
 
 def source_key(source: Column) -> Column:
@@ -33,25 +34,60 @@ def mix_plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -
     return plan.withColumn("expected", F.coalesce(wanted, F.lit(0.0)))
 
 
+def size_copies(sized: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+    """``source, tokens, n, copies``: of each size in tokens, how many documents a source has and how many copies it emits.
+
+    Documents of a source stand in order of size; expected copies are summed along it, one random offset per source is
+    added, and a copy is emitted per whole number crossed. What the tokens drawn then lack or have too much is made up from
+    the largest size that fits down, so a source misses its tokens by less than its smallest documents allow. Rows are
+    sizes, not documents: a source has no more of them than its largest document has tokens.
+    """
+    kinds = sized.join(plan.select("source"), "source", "left_semi").groupBy("source", "tokens").agg(F.count("*").alias("n"))
+    through = F.sum("n").over(Window.partitionBy("source").orderBy("tokens"))
+    u = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    placed = kinds.withColumn("through", through).join(plan.select("source", "expected", "max_repeats"), "source")
+    crossed = F.floor(F.col("expected") * F.col("through") + u) - F.floor(F.col("expected") * (F.col("through") - F.col("n")) + u)
+    drawn = placed.withColumn("copies", F.least(crossed, F.col("n") * F.col("max_repeats")))
+    return drawn.groupBy("source").applyInPandas(_made_up, "source string, tokens long, n long, copies long")
+
+
+def _made_up(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("tokens", ascending=False, ignore_index=True)
+    size, n, copies = (rows[c].to_numpy(dtype="int64") for c in ("tokens", "n", "copies"))
+    most = n * int(rows["max_repeats"].iloc[0]) if len(rows) else n
+    lack = round(float(rows["expected"].iloc[0]) * int((size * n).sum())) - int((size * copies).sum())
+    sign = 1 if lack > 0 else -1
+    copies, spare, last = copies.copy(), (most - copies) if lack > 0 else copies.copy(), None
+    for i in range(len(size)):
+        if size[i] > 0 and spare[i] > 0:
+            k = min(int(spare[i]), abs(lack) // int(size[i]))
+            copies[i] += sign * k
+            lack -= sign * k * int(size[i])
+            last = i if spare[i] > k else last
+    if last is not None and 2 * abs(lack) > size[last]:
+        copies[last] += sign
+    return pd.DataFrame({"source": rows["source"], "tokens": size, "n": n, "copies": copies})
+
+
 def systematic_copies(sized: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """``doc_id, source, tokens, copies`` of every document that is emitted at least once.
 
-    Documents of a source stand in a fixed order; expected copies are summed along it, one offset per source is added,
-    and a document is emitted once per whole number its stretch crosses. The order is hash buckets, by size inside a
-    bucket; the running sums come from bucket totals, so a source that holds most rows is spread over its buckets.
+    The copies of a size (:func:`size_copies`) go to its documents by the same rule: documents in order of a hash, expected
+    copies summed along it, one copy per whole number crossed. A size that many documents share is ordered in blocks, whose
+    running numbers come from the blocks' counts.
     """
-    rows = sized.join(F.broadcast(plan.select("source", "expected", "max_repeats")), "source") if plan.count() <= 10_000 else sized.join(plan.select("source", "expected", "max_repeats"), "source")
-    largest = plan.agg(F.max("docs")).first()[0] or 0
-    buckets = max(16, -(-largest // BLOCK))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    totals = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("source", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    at = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("tokens", "doc_id")) - 1
-    placed = rows.withColumn("at", at).join(offsets, ["source", "bucket"]).withColumn("i", F.col("before") + F.col("at"))
-    u = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    crossed = F.floor(F.col("expected") * (F.col("i") + 1) + u) - F.floor(F.col("expected") * F.col("i") + u)
-    return placed.withColumn("copies", F.least(crossed, F.col("max_repeats"))).where("copies > 0").select("doc_id", "source", "tokens", "copies")
+    wanted = materialize(size_copies(sized, plan, seed).where("copies > 0"), "sizes")
+    if wanted.count() <= SMALL:
+        wanted = F.broadcast(wanted)
+    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.ceil(F.col("n") / BLOCK))
+    rows = sized.join(wanted, ["source", "tokens"]).withColumn("block", block)
+    counts = rows.groupBy("source", "tokens", "block").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("source", "tokens").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("source", "tokens", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("source", "tokens", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")) - 1
+    placed = rows.withColumn("at", at).join(offsets, ["source", "tokens", "block"]).withColumn("i", F.col("before") + F.col("at"))
+    crossed = F.expr("((i + 1) * copies) div n - (i * copies) div n")
+    return placed.select("doc_id", "source", "tokens", crossed.alias("copies")).where("copies > 0")
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -63,9 +99,15 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None) -> tupl
 
 
 def mix_report(copies: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per target source: what it has, the copies drawn, and the share of all drawn tokens it reached."""
+    """Per target source: what it has, the copies drawn, the share of all drawn tokens it reached, the share it could aim at
+    (its target among the sources that have tokens), and by what part it missed that (null where it aimed at none)."""
     drawn = copies.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("drawn_tokens"), F.max("copies").alias("most_repeats"))
-    joined = plan.join(drawn, "source", "left").fillna(0, ["copies", "drawn_tokens", "most_repeats"])
+    joined = materialize(plan.join(drawn, "source", "left").fillna(0, ["copies", "drawn_tokens", "most_repeats"]), "drawn")
     all_tokens = joined.agg(F.sum("drawn_tokens")).scalar()
+    met = joined.agg(F.sum(F.when(F.col("tokens") > 0, F.col("target_share")))).scalar()
     share = F.when(F.lit(all_tokens) > 0, F.col("drawn_tokens") / all_tokens).otherwise(0.0)
-    return joined.select("source", "target_share", "max_repeats", "docs", "tokens", "expected", "copies", "most_repeats", "drawn_tokens", share.alias("share"))
+    aim = F.when(F.col("tokens") > 0, F.col("target_share") / met).otherwise(0.0)
+    return joined.select(
+        "source", "target_share", "max_repeats", "docs", "tokens", "expected", "copies", "most_repeats", "drawn_tokens", share.alias("share"), aim.alias("aim"),
+        F.when(aim > 0, share / aim - 1).alias("missed_by"),
+    )

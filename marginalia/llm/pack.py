@@ -3,6 +3,9 @@
 Items are spread over groups by a hash of their key; each group is packed by branch and bound. A node takes the largest
 item left and tries the undominated ways to fill the rest of its container, least waste first; it is cut off when the
 waste so far leaves no room for fewer containers than the incumbent, which starts as the best-fit solution.
+
+One filling dominates another if the other's items can be grouped so that each group fits under an item of the first:
+whatever the rest of a solution with the other looks like, those groups can change places with the items over them.
 """
 
 from __future__ import annotations
@@ -16,9 +19,8 @@ from pyspark.sql import functions as F
 
 from marginalia.session import materialize
 
-#: Items in a group, on average; steps a group's search may take in all before it keeps its incumbent, and steps for one
-#: container's fillings of a kind.
-GROUP, NODES, STEPS = 4_000, 300_000, 100
+#: Items in a group, on average, and steps a group's search may take before it keeps its incumbent.
+GROUP, NODES = 4_000, 300_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -55,38 +57,57 @@ def least_containers(sizes: list[int], capacity: int) -> int:
     return best
 
 
+def _under(items: tuple[int, ...], over: tuple[int, ...]) -> bool:
+    """Whether ``items`` (largest first) can be grouped under ``over``; best fit decides, so a yes is certain, a no is not."""
+    room = sorted(over)
+    for x in items:
+        at = bisect_left(room, x)
+        if at == len(room):
+            return False
+        insort(room, room.pop(at) - x)
+    return True
+
+
 def _fillings(counts: dict[int, int], order: list[int], room: int, waste: int, budget: list[int]) -> Iterator[tuple[int, ...]]:
-    """Undominated sets of sizes that leave at most ``waste`` of ``room`` free: perfect ones first, then the rest, each
-    time largest sizes first. Made on demand; every step draws on ``budget``.
+    """Undominated sets of sizes that leave at most ``waste`` of ``room`` free, least waste first, then largest sizes first.
+    Made on demand; every size looked at and every set compared draws on ``budget``.
 
-    ``order`` holds the sizes left, ascending. A set is dominated by one that came before with no more items, each at
-    least as large, position by position.
+    ``order`` holds the sizes left, ascending. ``sums[i]`` has a bit for every total the first ``i`` sizes can make, so no
+    branch is entered that does not end in a set.
     """
+    order = order[: bisect_right(order, room)]
+    sums, mask = [1], (1 << (room + 1)) - 1
+    for x in order:
+        made, part = sums[-1], sums[-1]
+        for _ in range(min(counts[x], room // x)):
+            part = (part << x) & mask
+            made |= part
+        sums.append(made)
     kept: list[tuple[int, ...]] = []
-    for least, most in ((0, 0), (1, waste)):
-        if least > most:
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if not sums[-1] >> total & 1:
             continue
-        # a frame: sizes chosen, room left, index of the next size to try
-        stack = [((), room, bisect_right(order, room) - 1)]
-        limit = STEPS
-        while stack and limit > 0 and budget[0] > 0:
+        stack = [((), total, len(order))]
+        while stack and budget[0] > 0:
             chosen, left, at = stack.pop()
-            limit -= 1
             budget[0] -= 1
-            if least <= left <= most and not any(len(k) <= len(chosen) and all(x >= y for x, y in zip(k, chosen, strict=False)) for k in kept):
-                kept.append(chosen)
-                yield chosen
-            if at < 0 or not left:
+            if not left:
+                budget[0] -= len(kept)
+                if not any(_under(chosen, k) for k in kept):
+                    kept.append(chosen)
+                    yield chosen
                 continue
-            x = order[at]
-            stack.append((chosen, left, at - 1))
-            if counts[x] > chosen.count(x):
-                stack.append(((*chosen, x), left - x, min(bisect_right(order, left - x) - 1, at)))
+            x = order[at - 1]
+            if sums[at - 1] >> left & 1:
+                stack.append((chosen, left, at - 1))
+            for n in range(1, min(counts[x], left // x) + 1):
+                if sums[at - 1] >> (left - n * x) & 1:
+                    stack.append((chosen + (x,) * n, left - n * x, at - 1))
 
 
 def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Containers as lists of item indices; no item may exceed the capacity. Optimal where the search ends within
-    ``nodes`` steps (mostly at once, by meeting the lower bound), otherwise the best solution seen."""
+    """Containers as lists of item indices; no item may exceed the capacity. Optimal where the lower bound is met (mostly at
+    once) or the search ends within ``nodes`` steps, otherwise the best solution seen."""
     best = best_fit(sizes, capacity)
     bound = least_containers(sizes, capacity)
     if len(best) <= bound:
