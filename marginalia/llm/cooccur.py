@@ -1,7 +1,7 @@
 """Items that appear together: exact pair counts against a bipartite configuration null.
 
-Every basket holds at most :data:`TOP` items, so pairs are bounded per basket and a hot item costs no more than its own
-occurrences. Under the null, item i is in basket b with probability ``x_i y_b / (1 + x_i y_b)``, where the factors make
+Baskets are cut to their first ``top`` items where the log's statement says so, which bounds the pairs per basket; a hot item
+costs no more than its own occurrences. Under the null, item i is in basket b with probability ``x_i y_b / (1 + x_i y_b)``, where the factors make
 every item's frequency and every basket's size right on average. Items of equal frequency and baskets of equal size
 share a factor, so the fit works on the histogram of frequencies. The number of common baskets of a pair is then
 Poisson-binomial; its upper tail is the pair's p-value, and the Benjamini-Hochberg procedure over all possible pairs
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 from marginalia.functions.links import link_target
 from marginalia.session import materialize
 
+#: Items of a basket that count, by default.
 TOP = 5
+#: Tail probability under the null above which a pair is not looked at as one that stands out.
+SURPRISE = 0.05
 #: Steps of -log10 p in which false-discovery rates are computed (rounded to the less surprising side).
 GRID = 100
 
@@ -34,17 +37,18 @@ def plain_names(results: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda x: x.isNotNull()))
 
 
-def baskets(log: DataFrame, key: str = "id", results: str = "results", order: str = "ts") -> DataFrame:
-    """``key, items``: each key once (redeliveries: the earliest row, then the smaller items), its first :data:`TOP` names.
-    Baskets without a name are left out."""
-    rows = log.select(key, F.col(order).alias("o"), F.slice(plain_names(F.col(results)), 1, TOP).alias("items"))
+def baskets(log: DataFrame, key: str = "id", results: str = "results", order: str = "ts", top: int | None = TOP) -> DataFrame:
+    """``key, items``: each key once (redeliveries: the earliest row, then the smaller items), its first ``top`` names, or all
+    of them. Baskets without a name are left out. Whole baskets have as many pairs as half the square of their size."""
+    names = plain_names(F.col(results))
+    rows = log.select(key, F.col(order).alias("o"), (names if top is None else F.slice(names, 1, top)).alias("items"))
     once = rows.groupBy(key).agg(F.min(F.struct("o", "items")).alias("r"))
     return once.select(key, F.col("r.items").alias("items")).where(F.size("items") > 0)
 
 
 def _pairs(items: Column) -> Column:
     def with_later(x: Column, i: Column) -> Column:
-        return F.transform(F.slice(items, i + 2, TOP), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+        return F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
 
     return F.flatten(F.transform(items, with_later))
 
@@ -80,7 +84,8 @@ def log10_tail(count: np.ndarray, q: np.ndarray, n_baskets: np.ndarray) -> np.nd
     """log10 of P(X >= count) for sums of binomials: X = sum over k of Bin(n_baskets[k], q[:, k]).
 
     Counts up to 60 with all q below a tenth are summed exactly from the generating function, from the count upwards,
-    so small tails keep their precision; the rest use the saddlepoint approximation of Lugannani and Rice.
+    so small tails keep their precision; the rest use the saddlepoint approximation of Lugannani and Rice above the mean,
+    and the normal one with a half taken off up to the mean.
     """
     q = np.clip(q, 1e-300, 1 - 1e-12)
     out = np.zeros(len(count))
@@ -104,6 +109,11 @@ def log10_tail(count: np.ndarray, q: np.ndarray, n_baskets: np.ndarray) -> np.nd
             tail += np.where(j + 1 >= c, terms[-1], 0)
         with np.errstate(divide="ignore"):
             out[exact] = np.minimum(0, (np.log(tail) + scale) / math.log(10))
+    below = ~exact & (count <= mean)
+    if below.any():
+        spread = np.sqrt(np.maximum((q[below] * (1 - q[below])) @ n_baskets, 1e-300))
+        z = (count[below] - 0.5 - mean[below]) / spread / math.sqrt(2)
+        out[below] = [math.log10(0.5 * math.erfc(x)) for x in z]
     rest = ~exact & (count > mean)
     if rest.any():
         qq, c = q[rest], count[rest].astype(float) - 0.5
@@ -129,7 +139,9 @@ def together(groups: DataFrame) -> DataFrame:
     """``a, b, count, n_a, n_b, n, expected, lift, log10_p, fdr`` of every pair that occurs.
 
     ``expected`` is the mean under the fitted null, ``lift`` is ``count * n / (n_a * n_b)``, ``fdr`` the least rate at
-    which the pair is still called surprising among all pairs of items. Empty input gives no rows.
+    which the pair is still called surprising among all pairs of items. Empty input gives no rows. Only histograms reach
+    the driver: of the items' frequencies, which differ in at most the root of twice all occurrences, of the baskets' sizes,
+    and of the tails.
     """
     groups = materialize(groups, "baskets")
     counts = materialize(pair_counts(groups), "pairs")
@@ -161,8 +173,10 @@ def together(groups: DataFrame) -> DataFrame:
 
 
 def frequent_pairs(groups: DataFrame, least: int = 5, lift: int = 8) -> DataFrame:
-    """Pairs of :func:`together` with at least ``least`` common baskets and ``count * n >= lift * n_a * n_b``, in whole numbers."""
-    wide = together(groups)
+    """Pairs that stand out under the null (:data:`SURPRISE`) and then, by exact check, have at least ``least`` common baskets
+    and ``count * n >= lift * n_a * n_b``, in whole numbers. The check alone implies a far smaller tail: five common baskets
+    where 0.625 are expected have one of 0.0005, and the null expects three times more at the most for baskets of five."""
+    wide = together(groups).where(F.col("log10_p") <= math.log10(SURPRISE))
     big = {c: F.col(c).cast("decimal(19,0)") for c in ("count", "n", "n_a", "n_b")}
     return wide.where((F.col("count") >= least) & (big["count"] * big["n"] >= F.lit(lift).cast("decimal(3,0)") * big["n_a"] * big["n_b"])).select("a", "b", "count", "expected", "log10_p", "fdr")
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Languages by family, and the spellings of a label that name them.
@@ -33,7 +33,7 @@ SPELLINGS = {
     "pl": ["pol", "polish"],
     "ru": ["rus", "russian"],
 }
-#: Slots of the hashed feature space, labelled documents the machines are fitted on at most, and words that make a line count.
+#: Slots of the hashed feature space, different labelled texts the machines are fitted on at most, and words that make a line count.
 SLOTS, SAMPLE, LONG = 1 << 16, 2_700, 8
 #: A line whose machine margin is below this takes the language of the lines around it.
 DOUBT = 0.25
@@ -92,10 +92,12 @@ def _fit_linear(rows: list[np.ndarray], y: np.ndarray, rounds: int = 6, rate: fl
 
 
 class Model:
-    """One machine per family against the rest, and one per pair of languages of a family."""
+    """One machine per family against the rest, and one per pair of languages of a family; ``scale`` turns a margin ``m`` into
+    the chance of being right, ``1 / (1 + exp(-(scale[0] * m + scale[1])))``."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray, scale: tuple[float, float] = (4.0, 0.0)):
         self.weights = weights.astype(np.float32)  # (slots + 1, machines)
+        self.scale = scale
         self.pairs = [(a, b) for f in FAMILIES.values() for a, b in itertools.combinations(f, 2)]
 
     @property
@@ -135,34 +137,46 @@ class Model:
         margin = np.where(sums[:, -1] > 0, margin, 0)
         return language, margin
 
+    def chance(self, margin: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * margin + self.scale[1], -30, 30)))
+
 
 def _lines(text: str | None) -> list[str]:
     return re.split(r"\r\n|\r|\n", text or "")
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most 1.25 ``sample`` documents whose label names a language, an equal share of each language, those of the
-    smallest text hashes. Labels are taken as noisy: a first fit throws out lines that clearly disagree with theirs."""
+    """Fit on at most ``sample`` different texts whose label names a language, an equal share of each language, those of the
+    smallest hashes, in that order: neither copies nor the order of rows change the fit. Labels are taken as noisy: a first
+    fit throws out lines that clearly disagree with theirs. Every tenth text is held out to turn margins into chances.
+    """
     known = docs.select(F.col(text).alias("text"), label_language(F.col(label)).alias("lang")).where("lang is not null and length(text) > 0")
+    known = known.withColumn("h", F.xxhash64("text", "lang"))
     each = sample // len(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     bound = F.lit(0.0)
     for lang, n in counts.items():
-        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * each / n))).otherwise(bound)
-    u = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(u < bound).select("text", "lang").limit(sample + sample // 4).toPandas()
-    rows, y = [], []
+        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * each / n))).otherwise(bound)
+    u = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = known.where(u < bound).groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies combine before they shuffle
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("r") <= each)
+    chosen = ranked.select("lang", "r", "text").toPandas().sort_values(["lang", "r"])
+    rows, y, held = [], [], []
     cache: dict[str, np.ndarray] = {}
-    for t, lang in zip(chosen["text"], chosen["lang"], strict=True):
+    for t, lang, r in zip(chosen["text"], chosen["lang"], chosen["r"], strict=True):
         for line in _lines(t):
-            w = line.split()
-            if len(w) < LONG:
-                continue
-            slots = np.concatenate([cache.setdefault(x, word_features(x)) if x not in cache else cache[x] for x in w[:60]])
-            if len(slots):
-                rows.append(slots)
-                y.append(LANGUAGES.index(lang))
-    target = np.array(y)
+            words = line.split()
+            if len(words) >= LONG:
+                parts = [cache.setdefault(x, word_features(x)) if x not in cache else cache[x] for x in words]
+                slots = np.concatenate(parts)
+                if not len(slots):
+                    continue
+                if r % 10 == 0:
+                    held.append((parts, LANGUAGES.index(lang)))
+                else:
+                    rows.append(slots)
+                    y.append(LANGUAGES.index(lang))
+    target = np.array(y, dtype=int)
     keep = np.arange(len(rows))
     for turn in range(2):
         model = Model(_fit_all([rows[i] for i in keep], target[keep], rounds=2 if turn == 0 else 5))
@@ -170,9 +184,40 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample: int =
             sums = np.stack([np.append(model.weights[r].sum(0), len(r)) for r in rows])
             guess, margin = model.decide(sums)
             keep = np.flatnonzero((guess == target) & (margin > 0.02))
+    model.scale = _calibrated(model, held)
     return model
 
 
+def _calibrated(model: Model, held: list[tuple[list[np.ndarray], int]], seed: int = 5) -> tuple[float, float]:
+    """The logistic curve from margin to the share of right answers, by Newton steps on runs of one to ten words of the lines
+    held out. Lines whose whole disagrees with their label count as mislabelled; targets are drawn in by one case each."""
+    rng = np.random.default_rng(seed)
+    sums, right = [], []
+    for parts, lang in held:
+        whole = np.concatenate(parts)
+        if model.decide(np.append(model.weights[whole].sum(0), len(whole))[None])[0][0] != lang:
+            continue
+        n = int(rng.integers(1, min(10, len(parts)) + 1))
+        at = int(rng.integers(0, len(parts) - n + 1))
+        slots = np.concatenate(parts[at : at + n])
+        if len(slots):
+            sums.append(np.append(model.weights[slots].sum(0), len(slots)))
+            right.append(lang)
+    if len(sums) < 100:
+        return 4.0, 0.0
+    guess, margin = model.decide(np.stack(sums))
+    hit = guess == np.array(right)
+    target = np.where(hit, (hit.sum() + 1) / (hit.sum() + 2), 1 / ((~hit).sum() + 2))
+    x, w = np.stack([margin, np.ones(len(margin))], 1), np.array([4.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (target - p))
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(w[0], 0.1)), float(w[1])
+
+
 def _fit_all(rows: list[np.ndarray], y: np.ndarray, rounds: int) -> np.ndarray:
     machines = []
     groups = [[LANGUAGES.index(x) for x in f] for f in FAMILIES.values()]
@@ -241,7 +286,7 @@ def _segments(texts: list[str | None], scores: _Scores):
         mine = mine[at]
         change = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
         for a, b in zip(change, np.r_[change[1:], len(mine)], strict=True):
-            trust = float(np.mean(1 / (1 + np.exp(-4 * sure[a:b][firm[a:b]])))) if firm[a:b].any() else 0.5
+            trust = float(scores.model.chance(sure[a:b][firm[a:b]]).mean()) if firm[a:b].any() else 0.5
             d, n, _ = owner[lo + a]
             out[d].append((n, owner[lo + b - 1][1], LANGUAGES[mine[a]], trust, sum(o[2] for o in owner[lo + a : lo + b]), int(long[a:b].sum())))
     return out
@@ -264,10 +309,10 @@ def segments(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     """
     kind = dict(docs.dtypes)[key]
     names = [key, "segment", "first_line", "last_line", "lang", "confidence", "words", "long_lines"]
-    held = docs.sparkSession.sparkContext.broadcast(model.weights)
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(Model(held.value))
+        scores = _Scores(Model(*held.value))
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)

@@ -1,23 +1,27 @@
 """Splitting oversized texts at natural boundaries by structure-tree packing.
 
-A text is a tree: heading sections (nested by heading level), paragraphs, lines and list items, sentences, words. Spans
-of a level partition their parent, separators included, so the pieces' new parts always join to the text again.
-Siblings are merged from the bottom up to the limit and only nodes over it are opened.
+A text is a tree: heading sections (nested by heading level), paragraphs and fenced code blocks, list items (nested by
+indentation), lines, sentences, words. Spans of a level partition their parent, separators included, so the pieces' new
+parts always join to the text again. Siblings are merged from the bottom up to the limit and only nodes over it are
+opened. What looks like a heading, a blank line or a list item inside a code block is none.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the tree below the headings, as reported in ``cut``; 9 is a cut inside an unbroken run of characters.
-HEADING, PARAGRAPH, LINE, SENTENCE, WORD, FORCED = 1, 5, 6, 7, 8, 9
+#: Levels of the tree below the headings; the last is a cut inside an unbroken run of characters.
+HEADING, PARAGRAPH, ITEM, LINE, SENTENCE, WORD, FORCED = 1, 5, 6, 7, 8, 9, 10
 _STOP = re.compile(r"[。！？；]")
 _HEADING = re.compile(r"^(#{1,6})[ \t]", re.M)
+_ITEM = re.compile(r"^([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]", re.M)
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})([^\r\n]*)(?:\r?\n|\Z)", re.M)
 _ENDS = {
     PARAGRAPH: re.compile(r"\r?\n[ \t]*\r?\n\s*"),
     LINE: re.compile(r"\r?\n"),
@@ -26,29 +30,58 @@ _ENDS = {
 }
 
 
-def _sections(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Parts of a span at the headings of its highest level."""
-    found = [(m.start(), len(m.group(1))) for m in _HEADING.finditer(text, lo, hi) if m.start() > lo]
-    if not found:
-        return [(lo, hi)]
-    top = min(n for _, n in found)
-    at = [lo, *(p for p, n in found if n == top), hi]
-    return list(zip(at, at[1:], strict=False))
-
-
-def _children(text: str, lo: int, hi: int, level: int) -> list[tuple[int, int]]:
-    if level < PARAGRAPH:
-        return _sections(text, lo, hi)
-    if level == WORD:
-        at = sorted({lo, hi, *(p for m in _ENDS[WORD].finditer(text, lo, hi) for p in m.span())})
-    else:
-        at = sorted({lo, hi, *(m.end() for m in _ENDS[level].finditer(text, lo, hi))})
-    return list(zip(at, at[1:], strict=False))
+class _Tree:
+    """A text and its code blocks, as the positions where they begin and end."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.edges: list[int] = []
+        mark = ""
+        for m in _FENCE.finditer(text):
+            if not mark:
+                mark = m.group(1)
+                self.edges.append(m.start())
+            elif m.group(1)[0] == mark[0] and len(m.group(1)) >= len(mark) and not m.group(2).strip():
+                mark = ""
+                self.edges.append(m.end())
+        if mark:  # a block that is never closed goes on to the end
+            self.edges.append(len(text))
+
+    def inside(self, at: int) -> bool:
+        """Whether a position lies in a code block, behind its beginning."""
+        i = bisect_right(self.edges, at)
+        return i % 2 == 1 and self.edges[i - 1] < at
+
+    def _nested(self, pattern: re.Pattern, lo: int, hi: int) -> list[tuple[int, int]]:
+        """Parts of a span at the marks of its highest rank: headings by level, items by the width of their indentation."""
+        found = [(m.start(), len(m.group(1).expandtabs(4))) for m in pattern.finditer(self.text, lo, hi) if m.start() > lo and not self.inside(m.start())]
+        if not found:
+            return [(lo, hi)]
+        top = min(n for _, n in found)
+        at = [lo, *(p for p, n in found if n == top), hi]
+        return list(zip(at, at[1:], strict=False))
+
+    def children(self, lo: int, hi: int, level: int) -> list[tuple[int, int]]:
+        if level < PARAGRAPH:
+            return self._nested(_HEADING, lo, hi)
+        if level == ITEM:
+            return self._nested(_ITEM, lo, hi)
+        found = _ENDS[level].finditer(self.text, lo, hi)
+        if level == WORD:
+            cuts = {p for m in found for p in m.span()}
+        elif level == PARAGRAPH:
+            first = bisect_right(self.edges, lo)
+            cuts = {m.end() for m in found if not self.inside(m.end())} | set(self.edges[first : bisect_right(self.edges, hi)])
+        else:
+            cuts = {m.end() for m in found}
+        at = sorted({lo, hi, *cuts})
+        return list(zip(at, at[1:], strict=False))
 
 
-def _pack(text: str, lo: int, hi: int, level: int, soft: int, hard: int, out: list[tuple[int, int, int]]) -> None:
+def _pack(tree: _Tree, lo: int, hi: int, level: int, soft: int, hard: int, out: list[tuple[int, int, int]]) -> None:
     """Append the spans of ``[lo, hi)``, each with the level at which it ends. ``soft`` leaves room for the overlap; a
     node of up to ``hard`` that cannot be merged stays whole."""
+    text = tree.text
     if hi - lo <= hard and (hi - lo <= soft or level > HEADING):
         out.append((lo, hi, min(level, WORD)))
         return
@@ -62,10 +95,11 @@ def _pack(text: str, lo: int, hi: int, level: int, soft: int, hard: int, out: li
             out.append((lo, end, WORD if blank else FORCED))
             lo = end
         return
-    kids = _children(text, lo, hi, level)
-    below = level if level < PARAGRAPH and len(kids) > 1 else max(level + 1, PARAGRAPH)
+    kids = tree.children(lo, hi, level)
+    again = len(kids) > 1 and (level < PARAGRAPH or level == ITEM)
+    below = level if again else max(level + 1, PARAGRAPH)
     if len(kids) == 1:
-        _pack(text, lo, hi, below, soft, hard, out)
+        _pack(tree, lo, hi, below, soft, hard, out)
         return
     start = end = lo
     for a, b in kids:
@@ -77,7 +111,7 @@ def _pack(text: str, lo: int, hi: int, level: int, soft: int, hard: int, out: li
         if b - a <= soft:
             start, end = a, b
             continue
-        _pack(text, a, b, below, soft, hard, out)
+        _pack(tree, a, b, below, soft, hard, out)
         # a short tail of an opened node may still take later siblings
         last = out[-1]
         if last[1] - last[0] < soft and last[2] != FORCED:
@@ -102,7 +136,7 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[i
     if len(text) <= limit:
         return [(0, 0, len(text), False)]
     spans: list[tuple[int, int, int]] = []
-    _pack(text, 0, len(text), HEADING, limit - overlap, limit, spans)
+    _pack(_Tree(text), 0, len(text), HEADING, limit - overlap, limit, spans)
     pieces = []
     for i, (lo, hi, level) in enumerate(spans):
         start = lo

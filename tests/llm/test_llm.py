@@ -74,6 +74,24 @@ def test_no_vectors(vectors):
     assert knn.similar_pairs(df.where("id >= 4000"), "id", "embedding").count() == 0
 
 
+def test_exact_search_and_many_scaled_copies(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 64))
+    rows = [(int(i), [float(x) for x in (base[i % 40] * (1 + i // 40 / 7) if i < 1200 else rng.standard_normal(64))]) for i in range(2000)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    want = brute_nearest(rows, 5)
+    for exact in (True, False):
+        near = {}
+        for r in knn.nearest(df, "id", "embedding", 5, exact=exact).collect():
+            near.setdefault(r["id"], []).append((r["neighbour"], r["cosine"]))
+        assert all(sorted(j for j, _ in near[i]) == sorted(want[i]) for i in range(1200))  # copies: the smallest ids
+        unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+        # which of many copies at one cosine comes out is left to 32-bit noise, so the cosines are compared
+        good = sum(c >= unit[i] @ unit[want[i][-1]] - 1e-6 for i in range(1200, 2000) for _, c in near[i])
+        assert good == 5 * 800 if exact else good >= 0.95 * 5 * 800, good
+
+
 # 3
 
 
@@ -185,6 +203,19 @@ def test_split_operator(spark):
     assert split.split_oversized(df.limit(0), "id", "text").count() == 0
 
 
+def test_split_keeps_code_blocks_and_nested_items(spark):
+    code = "```sh\n# not a heading\n\n" + "echo one two three\n" * 8 + "```\n"
+    text = "# a\n\n" + "word " * 20 + "\n\n" + code + "\ntail " + "x " * 40
+    spans = split.split_text(text, 220, 20)
+    assert "".join(text[new:e] for _, new, e, _ in spans) == text
+    assert any(text[new:e].startswith("```sh") and code in text[new:e] for _, new, e, _ in spans)
+    items = "".join(f"- top {i} {'y' * 30}\n" + "".join(f"  - sub {i}.{j} {'z' * 20}\n" for j in range(3)) for i in range(6))
+    spans = split.split_text(items, 260, 0)
+    assert "".join(items[new:e] for _, new, e, _ in spans) == items
+    assert all(items[new:e].startswith("- top") for _, new, e, _ in spans)
+    assert split.split_text("~~~\n" + "# x\n" * 200, 100, 10)[0][3] is False
+
+
 # 7
 
 
@@ -371,3 +402,17 @@ def test_languages_on_held_out_documents(spark):
     assert parts == [(0, 0, "de"), (2, 2, "en")]
     nothing = langid.fit(odd.limit(0))
     assert langid.documents(odd.limit(0), nothing).count() == 0 and langid.segments(odd.limit(0), nothing).count() == 0
+
+
+def test_language_fit_does_not_depend_on_order_or_copies(spark):
+    docs = read(spark, "documents").select("doc_id", "text", "lang")
+    one = langid.fit(docs)
+    copies = docs.unionByName(docs.where("doc_id % 3 = 0")).repartition(7)
+    two = langid.fit(copies)
+    assert np.array_equal(one.weights, two.weights) and one.scale == two.scale and one.scale[0] > 0
+
+
+def test_whole_baskets_and_counts_below_the_mean():
+    n = np.array([4000.0])
+    assert abs(cooccur.log10_tail(np.array([1000]), np.array([[0.25]]), n)[0] - math.log10(0.505)) < 0.02
+    assert cooccur.log10_tail(np.array([900]), np.array([[0.25]]), n)[0] > -1e-3
