@@ -20,7 +20,7 @@ from marginalia.session import materialize
 
 #: Vectors the index is fitted on at most, vectors of a list and of a region on average, lists a query probes at most (None: as
 #: many as :data:`RECALL` asks for).
-SAMPLE, LIST, REGION, PROBES = 40_000, 300, 25_000, None
+SAMPLE, LIST, REGION, PROBES = 40_000, 300, 50_000, None
 #: Share of the true neighbours of sampled queries whose lists a query without a cosine floor looks into, and those queries.
 RECALL, MEASURED = 0.99, 1_000
 #: Distances closer than this are one to 32-bit floats: the smaller id goes first until exact cosines are known.
@@ -28,7 +28,7 @@ NOISE = 1e-6
 #: Candidates kept beyond k until the exact cosines are known, which are rounded to 12 places so that scaled copies tie.
 SPARE = 4
 #: Queries, and vectors, of a region that one task takes at most, about.
-CROWD = 60_000
+CROWD = 100_000
 #: Significance of the abandon test: a true neighbour is dropped when its partial distance strays this far from its share.
 EPSILON, SIGMAS = 2.1, 3.0
 #: Columns after which a test is made.
@@ -347,7 +347,8 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int, dims: int = 64, m
     total = members.count()
     index = fit_index(rows, total, total if every == 1 else asking.count(), 9.0 if exact else _limits(min_cosine, dims)[1], probes, k)
     asked = reps.select("rep", "h1", "h2", F.lit(True).alias("asked")) if every == 1 else reps.join(asking.select("h1", "h2").distinct().withColumn("y", F.lit(True)), ["h1", "h2"], "left").select("rep", "h1", "h2", F.coalesce("y", F.lit(False)).alias("asked"))
-    distinct = rows.join(asked.withColumnRenamed("rep", "id"), ["id", "h1", "h2"]).groupBy(F.col("id").alias("rep"), "asked").agg(F.min("v").alias("v"))
+    # the hashes stay in the grouping, so that the join's partitioning serves it and vectors are shuffled once
+    distinct = rows.join(asked.withColumnRenamed("rep", "id"), ["id", "h1", "h2"]).groupBy("id", "h1", "h2", "asked").agg(F.min("v").alias("v")).select(F.col("id").alias("rep"), "asked", "v")
     found = materialize(neighbours(distinct, index, k, min_cosine, F.col("asked"), exact), "found")
     with_ids = found.join(reps.select(F.col("rep").alias("other"), "ids"), "other")
     one = F.transform(F.slice("ids", 1, k), lambda i: F.struct((-F.col("cosine")).alias("far"), i.alias("i")))
