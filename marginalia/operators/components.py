@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
     labels = materialize(start, "labels")
     for _ in range(max_rounds):
         up = labels.select(F.col("node").alias("p"), F.col("f").alias("g"))
-        grand = materialize(labels.join(up, labels["f"] == up["p"]).select("node", "f", "g"), "grand")
+        # kept for this round only; what is lost with an executor is made again from the written labels
+        grand = labels.join(up, labels["f"] == up["p"]).select("node", "f", "g").persist(StorageLevel.MEMORY_AND_DISK)
         far = grand.select(F.col("node").alias("b"), F.col("g").alias("gb"))
         own = grand.select(F.col("node").alias("a"), F.col("f").alias("fa"))
         seen = graph.join(far, "b").groupBy("a").agg(F.min("gb").alias("m")).join(own, "a")
@@ -40,7 +42,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
         )
         step = grand.join(wish, "node", "left").select("node", F.least("f", F.coalesce("m", "f")).alias("f"), (F.coalesce("m", "f") < F.col("f")).alias("moved"))
         step, sums = materialize_with(step, "labels", moved=F.count_if("moved"))
-        release(grand)
+        grand.unpersist()
         release(labels)
         labels = step
         if not sums["moved"]:

@@ -1,165 +1,118 @@
-"""History of changing entity attributes, by Merkle comparison of snapshots.
-
-Periodic snapshots of a change log are hashed into key buckets (the leaves) and a tree of fixed fan-out above them. Two
-neighbouring snapshots are compared from the root down; only the children of branches that differ are looked at, and
-only the rows of differing leaf buckets are read for the row diff, whose changes are appended as new versions. For every
-change (:func:`merkle_changes`) a cut is compared by all rows seen since the cut before, so that one undone before the next
-cut still makes its leaf differ.
+"""History of changing entity attributes, by Merkle comparison of the snapshots of a change log.
+
+The log is cut into periods. A snapshot is every key's history up to a cut; keys fall into buckets by hash, the leaves of a
+tree of fixed fan-out whose depth grows with the keys. A node's hash combines those of the histories below it without
+regard to order, so a cut's hash is the one of the cut before, changed by what its period brought: hashes are kept for
+the nodes a period touched, never for every key at every cut. Neighbouring snapshots are compared from the root down;
+only the children of branches that differ are looked at, and only the log rows of leaves that differ are read for the
+row diff, whose changes are appended as new versions. Rows that repeat the state before change no hash and are never read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.state import latest
-from marginalia.session import materialize
-
-#: Children of a tree node and levels below the root: 16^3 = 4,096 leaves whatever the table's size.
-FANOUT, DEPTH = 16, 3
-
-
-def _calendar(log: DataFrame, seen: str) -> Row:
-    """The first month (``lo``) and the last day (``hi``) of the log; nulls without any time."""
-    return log.agg(F.trunc(F.min(seen), "month").alias("lo"), F.max(F.to_date(seen)).alias("hi")).first()
-
-
-def _cut(seen: str, lo: date, months: int) -> Column:
-    """The number of the first cut after a row."""
-    day = F.to_date(F.col(seen))
-    elapsed = (F.year(day) - lo.year) * 12 + F.month(day) - lo.month
-    return (F.floor(elapsed / months) + 1).cast("int")
-
-
-def snapshots(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, months: int) -> DataFrame:
-    """``cut_id, cut, keys..., columns..., seen``: the state of every key at each cut.
-
-    States are combined per key and period before they shuffle; the window that carries a state on to later cuts sees
-    at most one row per key and cut, so a hot key is bounded by the calendar.
-    """
-    first = _calendar(log, seen)
-    if first["lo"] is None:
-        empty = log.limit(0).select(F.lit(0).alias("cut_id"), F.current_date().alias("cut"), *keys, *columns, seen)
-        return empty
-    lo, hi = first["lo"], first["hi"]
-    n_cuts = ((hi.year - lo.year) * 12 + hi.month - lo.month) // months + 1
-    binned = log.withColumn("__cut", _cut(seen, lo, months))
-    states = latest(binned.where(F.col(seen).isNotNull()), [*keys, "__cut"], seen, columns)
-    until = F.lead("__cut").over(Window.partitionBy(*keys).orderBy("__cut"))
-    spread = states.withColumn("__until", F.coalesce(until - 1, F.lit(n_cuts)))
-    every = F.explode(F.sequence(F.col("__cut"), F.col("__until"))).alias("cut_id")
-    rows = spread.select(every, *keys, *columns, seen)
-    return rows.select("cut_id", F.add_months(F.lit(lo), F.col("cut_id") * months).alias("cut"), *keys, *columns, seen)
-
-
-def _leaf(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(FANOUT**DEPTH)).cast("int")
-
-
-def merkle_leaves(snaps: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``cut_id, node, h``: a leaf's hash combines its rows' hashes without regard to order (xor, a sum of independent
-    hashes, and the count)."""
-    rows = snaps.select("cut_id", _leaf(keys).alias("node"), F.xxhash64(*keys, *columns).alias("r0"), (F.xxhash64(F.lit("merkle"), *keys, *columns) % (1 << 31)).alias("r1"))
-    return rows.groupBy("cut_id", "node").agg(F.xxhash64(F.bit_xor("r0"), F.sum("r1"), F.count("*")).alias("h"))
-
-
-def merkle_tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels ``cut_id, node, h``, root first; an inner node hashes its (at most :data:`FANOUT`) children in order."""
-    levels = [leaves]
-    for _ in range(DEPTH):
-        kids = F.sort_array(F.collect_list(F.struct("node", "h")))
-        up = F.floor(F.col("node") / FANOUT).cast("int").alias("up")
-        levels.insert(0, levels[0].groupBy("cut_id", up).agg(F.xxhash64(kids).alias("h")).withColumnRenamed("up", "node"))
+from marginalia.session import materialize, release
+
+#: Children of a tree node, keys of a leaf on average, and days between two cuts.
+FANOUT, LEAF, DAYS = 16, 16, 7
+
+
+def tree_depth(keys: int) -> int:
+    """Levels below the root, so that a leaf has about :data:`LEAF` keys."""
+    return max(1, math.ceil(math.log(max(keys, 1) / LEAF, FANOUT))) if keys > LEAF else 1
+
+
+def _marked(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, days: int, depth: int) -> DataFrame:
+    """The rows with a time, with their cut, leaf and the hash of their attributes. Hashes skip nulls, so where these stand is
+    hashed too."""
+    nulls = F.array(*[F.col(c).isNull() for c in columns])
+    return log.where(F.col(seen).isNotNull()).select(
+        *keys, *columns, seen,
+        F.floor(F.datediff(F.to_date(seen), F.lit("1970-01-01").cast("date")) / days).cast("int").alias("__cut"),
+        F.pmod(F.xxhash64(*keys), F.lit(FANOUT**depth)).alias("__leaf"),
+        F.xxhash64(*columns, nulls).alias("__h"),
+    )
+
+
+def _same(a: str, b: str, keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
+def period_states(marked: DataFrame, keys: Sequence[str], seen: str) -> DataFrame:
+    """``keys, __cut, __leaf, __opening, d0, d1``: per key and period with a row, the state's hash before the period (null
+    if there is none) and two hashes of what the period brought, 0 where that is nothing. One combined aggregation; the
+    window sees one row per key and period."""
+    order = F.struct(F.col(seen), F.col("__h"))
+    per = marked.groupBy(*keys, "__cut").agg(F.first("__leaf").alias("__leaf"), F.min("__h").alias("lo"), F.max("__h").alias("hi"), F.max_by("__h", order).alias("last"))
+    per = per.withColumn("__opening", F.lag("last").over(Window.partitionBy(*keys).orderBy("__cut")))
+    still = (F.col("lo") == F.col("__opening")) & (F.col("hi") == F.col("__opening"))
+    brought = [F.xxhash64(F.lit(i), *keys, "__cut", "lo", "hi", "last") for i in range(2)]
+    return per.select(*keys, "__cut", "__leaf", "__opening", *[F.when(F.coalesce(still, F.lit(False)), F.lit(0).cast("long")).otherwise(x).alias(f"d{i}") for i, x in enumerate(brought)])
+
+
+def merkle_levels(periods: DataFrame, depth: int) -> list[DataFrame]:
+    """Levels ``__cut, node, h0, h1``, root first: a node's hashes at each cut that touched it. Every level is made from the
+    one below; the window sees a node's cuts."""
+    change = periods.select("__cut", F.col("__leaf").alias("node"), "d0", "d1")
+    levels = []
+    for level in range(depth, -1, -1):
+        change = change.groupBy("__cut", "node").agg(*[F.bit_xor(d).alias(d) for d in ("d0", "d1")])
+        run = Window.partitionBy("node").orderBy("__cut").rowsBetween(Window.unboundedPreceding, 0)
+        levels.insert(0, change.select("__cut", "node", *[F.bit_xor(f"d{i}").over(run).alias(f"h{i}") for i in range(2)]))
+        if level:
+            change = change.withColumn("node", F.floor(F.col("node") / FANOUT).cast("long"))
     return levels
 
 
-def changed_leaves(levels: Sequence[DataFrame], last_cut: int, states: Sequence[DataFrame] | None = None) -> DataFrame:
-    """``cut_id, node``: leaf buckets that differ from the cut before (from its tree in ``states``, where that is another),
-    found by descending differing branches only."""
-    differ, branch = None, None
-    for level, state in zip(levels, states or levels, strict=True):
-        now = level.select("cut_id", "node", F.col("h").alias("h1"))
-        before = state.where(F.col("cut_id") < last_cut).select((F.col("cut_id") + 1).alias("cut_id"), "node", F.col("h").alias("h0"))
+def changed_leaves(levels: Sequence[DataFrame]) -> DataFrame:
+    """``__cut, __leaf`` of the leaves that differ from the cut before, found by descending differing branches only."""
+    branch = None
+    for level in levels:
+        before = Window.partitionBy("node").orderBy("__cut")
+        old = [F.coalesce(F.lag(h).over(before), F.lit(0).cast("long")).alias(f"was_{h}") for h in ("h0", "h1")]
+        differ = level.select("__cut", "node", "h0", "h1", *old).where("h0 <> was_h0 or h1 <> was_h1").select("__cut", "node")
         if branch is not None:
-            up = F.floor(F.col("node") / FANOUT).cast("int")
-            now, before = (t.withColumn("up", up).join(branch, ["cut_id", "up"], "left_semi").drop("up") for t in (now, before))
-        differ = now.join(before, ["cut_id", "node"], "full_outer").where(~F.col("h0").eqNullSafe(F.col("h1"))).select("cut_id", "node")
-        branch = differ.withColumnRenamed("node", "up")
-    return differ
-
-
-def merkle_history(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, months: int = 6) -> DataFrame:
-    """Every key's versions at periodic snapshots: ``keys, columns, seen, valid_from_cut, valid_to_cut, open``. Versions that
-    no cut meets are not among them; :func:`merkle_changes` has every change.
-
-    A version starts at the cut where its row first differs from the cut before and ends at the cut where it next does
-    (null and ``open`` true for the last). Keys that vanish end their version. The last cut lies after the last row, so
-    the open versions are the log's latest state. Rows with a null time are left out; nulls in attributes are values.
-    """
-    snaps = materialize(snapshots(log, keys, columns, seen, months).withColumn("__leaf", _leaf(keys)), "snapshots")
-    last_cut = snaps.agg(F.max("cut_id")).first()[0] or 0
-    leaves = materialize(merkle_leaves(snaps, keys, columns), "leaves")
-    changed = materialize(changed_leaves(merkle_tree(leaves), last_cut).withColumnRenamed("node", "__leaf"), "changed")
-    row = F.xxhash64(*keys, *columns)
-    now = snaps.join(changed, ["cut_id", "__leaf"], "left_semi").select("cut_id", *keys, F.struct("cut", *columns, seen).alias("__new"), row.alias("__h1"))
-    earlier = snaps.where(F.col("cut_id") < last_cut).withColumn("cut_id", F.col("cut_id") + 1)
-    before = earlier.join(changed, ["cut_id", "__leaf"], "left_semi").select("cut_id", *keys, row.alias("__h0"))
-    diff = now.join(before, ["cut_id", *keys], "full_outer").where(~F.col("__h0").eqNullSafe(F.col("__h1")))
-    w = Window.partitionBy(*keys).orderBy("cut_id")
-    ended = diff.withColumn("__next", F.lead("cut_id").over(w)).where("__new is not null")
-    step = F.col("__next") - F.col("cut_id")
-    return ended.select(
-        *keys,
-        *[F.col("__new")[c].alias(c) for c in [*columns, seen]],
-        F.col("__new.cut").alias("valid_from_cut"),
-        F.add_months("__new.cut", step * months).alias("valid_to_cut"),
-        F.col("__next").isNull().alias("open"),
-    )
+            up = F.floor(F.col("node") / FANOUT).cast("long").alias("up")
+            differ = differ.select("__cut", "node", up).join(branch, ["__cut", "up"], "left_semi").select("__cut", "node")
+        branch = differ.select("__cut", F.col("node").alias("up"))
+    return differ.withColumnRenamed("node", "__leaf")
 
 
-def merkle_changes(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, months: int = 6) -> DataFrame:
+def merkle_changes(log: DataFrame, keys: Sequence[str], columns: Sequence[str], seen: str, days: int = DAYS) -> DataFrame:
     """Every version of every key, however short: ``keys, columns, seen, until, open``.
 
     A version starts at the ``seen`` of the first row that differs from the key's row before and ends at that of the next
     one that does (``until`` null and ``open`` true for the last). Rows that repeat the state before start none. Of rows of
     one key and time the one that :func:`latest` takes counts; rows with a null time are left out; nulls in attributes
-    are values.
+    are values; an empty log gives no rows.
 
-    A leaf of a cut combines its states and all rows since the cut before; it is compared with the states of the cut before.
-    Only rows of leaves that differ are ordered. No window sees more than one key's rows between two cuts, or its cuts.
+    No window sees more than one key's rows between two cuts, or its cuts.
     """
-    lo = _calendar(log, seen)["lo"]
-    if lo is None:
-        return log.limit(0).select(*keys, *columns, seen, F.col(seen).alias("until"), F.lit(True).alias("open"))
-    cols = [*columns, "__nulls"]  # hashes skip nulls, so where they stand is hashed too
-    rows = log.where(F.col(seen).isNotNull()).withColumn("__nulls", F.array(*[F.col(c).isNull() for c in columns]))
-    snaps = materialize(snapshots(rows, keys, cols, seen, months).withColumn("__leaf", _leaf(keys)), "snapshots")
-    timed = rows.withColumn("cut_id", _cut(seen, lo, months)).withColumn("__at", F.col(seen))
-    events = materialize(latest(timed, [*keys, "cut_id", "__at"], seen, cols).drop("__at").withColumn("__leaf", _leaf(keys)), "events")
-    last_cut = snaps.agg(F.max("cut_id")).first()[0]
-    met = snaps.select("cut_id", *keys, *cols).unionByName(events.select("cut_id", *keys, *cols)).distinct()
-    levels, states = (merkle_tree(materialize(merkle_leaves(t, keys, cols), "leaves")) for t in (met, snaps))
-    changed = materialize(changed_leaves(levels, last_cut, states).withColumnRenamed("node", "__leaf"), "changed")
-
-    row = F.struct(*columns).alias("__row")
-    opening = snaps.where(F.col("cut_id") < last_cut).withColumn("cut_id", F.col("cut_id") + 1).withColumn(seen, F.lit(None).cast(rows.schema[seen].dataType))
-    inside = [t.join(changed, ["cut_id", "__leaf"], "left_semi").select("cut_id", *keys, seen, row) for t in (opening, events)]
-    w = Window.partitionBy(*keys, "cut_id").orderBy(F.col(seen).asc_nulls_first())
-    stepped = inside[0].unionByName(inside[1]).withColumn("__old", F.lag("__row").over(w))
-    new = stepped.where(F.col(seen).isNotNull() & ~F.col("__old").eqNullSafe(F.col("__row"))).drop("__old")
+    depth = tree_depth(log.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0])
+    marked = _marked(log, keys, columns, seen, days, depth)
+    periods = materialize(period_states(marked, keys, seen), "periods")
+    changed = materialize(changed_leaves(merkle_levels(periods, depth)), "changed")
+    read = marked.join(changed, ["__cut", "__leaf"], "left_semi")
+    events = latest(read.withColumn("__at", F.col(seen)), [*keys, "__cut", "__at"], seen, [*columns, "__h"]).drop("__at")
+    opened = events.alias("e").join(periods.alias("p"), _same("e", "p", [*keys, "__cut"])).select(*[F.col(f"e.{c}").alias(c) for c in events.columns], F.col("p.__opening").alias("__opening"))
+    w = Window.partitionBy(*keys, "__cut").orderBy(seen)
+    stepped = opened.withColumn("__old", F.coalesce(F.lag("__h").over(w), F.col("__opening")))
+    new = stepped.where(~F.col("__old").eqNullSafe(F.col("__h"))).drop("__old", "__opening")
     changes = materialize(new.withColumn("__next", F.lead(seen).over(w)), "changes")
-    first = changes.groupBy(*keys, "cut_id").agg(F.min(seen).alias("__first"))
-    later = first.withColumn("__later", F.lead("__first").over(Window.partitionBy(*keys).orderBy("cut_id")))
-    same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*keys, "cut_id"]])
+    release(changed)
+    release(periods)
+    first = changes.groupBy(*keys, "__cut").agg(F.min(seen).alias("__first"))
+    later = first.withColumn("__later", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__cut")))
     until = F.coalesce(F.col("c.__next"), F.col("l.__later"))
-    return changes.alias("c").join(later.alias("l"), same).select(
-        *[F.col(f"c.{k}").alias(k) for k in keys],
-        *[F.col("c.__row")[c].alias(c) for c in columns],
-        F.col(f"c.{seen}").alias(seen),
+    return changes.alias("c").join(later.alias("l"), _same("c", "l", [*keys, "__cut"])).select(
+        *[F.col(f"c.{c}").alias(c) for c in [*keys, *columns, seen]],
         until.alias("until"),
         until.isNull().alias("open"),
     )

@@ -2,11 +2,14 @@
 
 A Bloom filter of the parent keys is built as a distributed aggregation (``bit_or`` per 64-bit word) and handed to the
 reference scan as a scalar subquery, so the test is a JVM expression in the scan's own stage. A key the filter does not
-hold is a definite orphan and never shuffles again; only filter-positive references go through the exact join.
+hold is a definite orphan: it only has to be still in its record's latest state, and never meets the parents. Only
+filter-positive references go through the exact join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,42 +46,48 @@ def bloom_words(parents: DataFrame, key: str, bits: int) -> DataFrame:
 def might_contain(words: Column, key: Column, bits: int) -> Column:
     """False means the key is certainly not a parent; a null key is never one."""
     hit = F.lit(True)
-    for p in _positions(key, bits):
+    for p in _positions(key, bits):  # the same subquery each time: it runs once; higher-order functions may not hold one
         word = F.get(words, (p / 64).cast("int"))
         hit = hit & (F.call_function("getbit", word, (p % 64).cast("int")) == 1)
     return F.coalesce(hit & key.isNotNull(), F.lit(False))
 
 
+def parent_test(parents: DataFrame, parent_key: str) -> Callable[[Column], Column]:
+    """A test of a reference's key for the scan that reads it: False means it is certainly no key of ``parents``, which has one
+    row per key. Above the filter's size bound nothing is broadcast and every reference is taken to be positive."""
+    bits = bloom_size(parents.select(F.approx_count_distinct(parent_key)).first()[0])
+    if not bits:
+        return lambda key: key.isNotNull()
+    words = bloom_words(parents.select(parent_key), parent_key, bits).scalar()
+    return lambda key: might_contain(words, key, bits)
+
+
 def split_references(refs: DataFrame, ref_key: str, parents: DataFrame, parent_key: str) -> tuple[DataFrame, DataFrame]:
-    """(definite orphans, filter-positive references). ``parents`` has one row per key.
+    """(definite orphans, filter-positive references); see :func:`parent_test`.
 
-    Above the filter's size bound nothing is broadcast: all references count as positive and the exact join decides.
     An empty parent table makes every reference a definite orphan. References with a null key name nothing and are dropped.
     """
-    refs = refs.where(F.col(ref_key).isNotNull())
-    bits = bloom_size(parents.select(F.approx_count_distinct(parent_key)).first()[0])
-    if not bits:
-        return refs.limit(0), refs
-    words = bloom_words(parents.select(parent_key), parent_key, bits).scalar()
-    tagged = refs.withColumn("__hit", might_contain(words, F.col(ref_key), bits))
+    test = parent_test(parents, parent_key)
+    tagged = refs.where(F.col(ref_key).isNotNull()).withColumn("__hit", test(F.col(ref_key)))
     return tagged.where(~F.col("__hit")).drop("__hit"), tagged.where("__hit").drop("__hit")
 
 
-def note_references(notes: DataFrame) -> DataFrame:
-    """Distinct references of each note's state: ``note_id, ref_field, target, first_seen``.
+def note_references(notes: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """Distinct references of each note's state: ``note_id, ref_field, target, hit, first_seen``.
 
     A reference counts if the note's latest row has it and is not deleted; ``first_seen`` is the first row that had it
-    in that field. Bodies are parsed where they are scanned, so only links shuffle. Null and blank targets are none.
+    in that field. Bodies are parsed where they are scanned, so only links shuffle, and ``hit``, what ``test`` says of the
+    target, is asked there too. Null and blank targets are none.
     """
     def tagged(field: str, targets: Column) -> Column:
         return F.transform(targets, lambda t: F.struct(F.lit(field).alias("ref_field"), t.alias("target")))
 
     named = F.concat(tagged("touches", target_set(F.col("touches"))), tagged("content", content_targets(F.col("content"))))
     last = notes.groupBy("note_id").agg(F.max("seen_at").alias("last_seen"), F.max_by("deleted", "seen_at").alias("gone"))
-    rows = notes.select("note_id", "seen_at", F.explode(named).alias("r")).select("note_id", "seen_at", "r.*")
-    refs = rows.groupBy("note_id", "ref_field", "target").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("ref_seen"))
+    rows = notes.select("note_id", "seen_at", F.explode(named).alias("r")).select("note_id", "seen_at", "r.*").withColumn("hit", test(F.col("target")))
+    refs = rows.groupBy("note_id", "ref_field", "target", "hit").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("ref_seen"))
     same = refs.join(last, "note_id").where((F.col("ref_seen") == F.col("last_seen")) & ~F.coalesce("gone", F.lit(False)))
-    return same.select("note_id", "ref_field", "target", "first_seen")
+    return same.select("note_id", "ref_field", "target", "hit", "first_seen")
 
 
 def note_names(notes: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -98,8 +107,8 @@ def orphan_references(notes: DataFrame, seeds: DataFrame) -> DataFrame:
     after the reference did. Targets compare exactly. Extra columns are ignored; an empty table gives no rows.
     """
     names = materialize(note_names(notes, seeds), "names")
-    refs = materialize(note_references(notes), "refs")
-    definite, positive = split_references(refs, "target", names, "name")
+    refs = materialize(note_references(notes, parent_test(names, "name")), "refs")
+    definite, positive = refs.where("not hit"), refs.where("hit")
     checked = positive.join(names, positive["target"] == names["name"], "left")
     state = F.when(F.col("name").isNull(), "missing").when(~F.col("live"), "deleted").when(F.col("born") > F.col("first_seen"), "late")
     cols = ["note_id", "ref_field", "target", "state", "first_seen"]

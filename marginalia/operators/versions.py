@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.dates import written_day
 from marginalia.functions.links import link_target
 from marginalia.operators.components import connected_components
-from marginalia.operators.history import merkle_history
+from marginalia.operators.history import merkle_changes
 from marginalia.session import materialize
 
 _KEYS = ["src", "note_id"]
@@ -22,9 +22,14 @@ def entity_log(notes: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.where(F.col("name").startswith("entity-"))
 
 
-def entity_states(log: DataFrame, months: int = 6) -> DataFrame:
-    """Current state of each entity note: the open versions of the log's Merkle history."""
-    return merkle_history(log, _KEYS, _ATTRIBUTES, "seen_at", months).where("open").select(*_KEYS, *_ATTRIBUTES, "seen_at")
+def entity_history(log: DataFrame) -> DataFrame:
+    """Every version of each entity note's attributes; see :func:`merkle_changes`."""
+    return merkle_changes(log, _KEYS, _ATTRIBUTES, "seen_at")
+
+
+def entity_states(log: DataFrame) -> DataFrame:
+    """Current state of each entity note: the open versions of its history."""
+    return materialize(entity_history(log).where("open").select(*_KEYS, *_ATTRIBUTES, "seen_at"), "states")
 
 
 def entity_members(states: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import asof, orphans, versions
-from marginalia.operators.history import merkle_changes
 from marginalia.queries.tables import table
 
 
@@ -30,7 +29,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
     """Attribute history of every ``entity-`` note: each change in the log, from the time it was seen to that of the next."""
     log = versions.entity_log(*_vault(spark, d))
-    h = merkle_changes(log, ["src", "note_id"], ["name", "valid_from", "superseded_by", "deleted"], "seen_at", 6)
+    h = versions.entity_history(log)
     return h.select("src", "note_id", "name", "valid_from", "superseded_by", "deleted", F.col("seen_at").cast("string").alias("from_seen"), F.col("until").cast("string").alias("to_seen"), F.col("open").alias("is_open"))
 
 
