@@ -59,31 +59,53 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    known = edges.select("src", "dst").distinct().join(nodes.select(F.col("name").alias("src")), "src", "left_semi").join(nodes.select(F.col("name").alias("dst")), "dst", "left_semi")
-    known = materialize(known, "edges")
-    degree = known.groupBy("src").agg(F.count("*").alias("deg"))
-    steps = materialize(known.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("deg")).alias("share")), "steps")
     start = nodes.select("name", F.lit(1.0 / n).alias("y"))
     if seeds is not None:
         wanted = seeds.groupBy("name").agg(F.max("weight").alias("w")).where("w > 0").join(nodes, "name", "left_semi")
         total = wanted.agg(F.sum("w")).first()[0]
         if total:
             start = wanted.select("name", (F.col("w") / total).alias("y"))
-    rounds, masses = [materialize(start, "mass")], [1.0]
-    for _ in range(max_iterations):
-        moved = steps.join(rounds[-1].withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("y") * F.col("share")).alias("y"))
+    left, total = _left_behind(nodes, edges, start, [], alpha, n * tol, max_iterations)
+    return materialize(nodes.join(left.select("name", (F.col("y") / total).alias("rank")), "name", "left").fillna(0.0, ["rank"]), "ranks")
+
+
+def walks(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iterations: int = 1_000) -> DataFrame:
+    """``id, name, rank``: a personalised PageRank for every ``id`` of ``seeds(id, name, weight)`` at once, nodes of rank 0 left out.
+
+    As :func:`pagerank` for each id by itself, but all walks take a step together and stop together, when all of them have
+    less than ``tol`` per node under way. Ids none of whose seeds is known have no rows. A round holds as many rows as the
+    walks have met nodes.
+    """
+    nodes = nodes.select("name").where("name is not null").distinct()
+    known = seeds.groupBy("id", "name").agg(F.max("weight").alias("w")).where("w > 0").join(nodes, "name", "left_semi")
+    start = known.join(known.groupBy("id").agg(F.sum("w").alias("all")), "id").select("id", "name", (F.col("w") / F.col("all")).alias("y"))
+    left, _ = _left_behind(nodes, edges, start, ["id"], alpha, nodes.count() * tol, max_iterations)
+    left = materialize(left, "walks")
+    return left.join(left.groupBy("id").agg(F.sum("y").alias("all")), "id").select("id", "name", (F.col("y") / F.col("all")).alias("rank"))
+
+
+def _left_behind(nodes: DataFrame, edges: DataFrame, start: DataFrame, keys: list[str], alpha: float, least: float, most: int) -> tuple[DataFrame, float]:
+    """(``keys, name, y``: the mass walks from ``start(keys, name, y)`` leave at each node, the sum of it all)."""
+    known = edges.select("src", "dst").distinct().join(nodes.select(F.col("name").alias("src")), "src", "left_semi").join(nodes.select(F.col("name").alias("dst")), "dst", "left_semi")
+    known = materialize(known, "edges")
+    degree = known.groupBy("src").agg(F.count("*").alias("deg"))
+    steps = materialize(known.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("deg")).alias("share")), "steps")
+    release(known)
+    first, sums = materialize_with(start, "mass", under_way=F.sum("y"))
+    rounds, masses = [first], [sums["under_way"] or 0.0]
+    for _ in range(most):
+        moved = steps.join(rounds[-1].withColumnRenamed("name", "src"), "src").groupBy(*keys, F.col("dst").alias("name")).agg(F.sum(F.col("y") * F.col("share")).alias("y"))
         moved, sums = materialize_with(moved, "mass", under_way=F.sum("y"))
         rounds.append(moved)
         masses.append(sums["under_way"] or 0.0)
-        if masses[-1] < n * tol:
+        if masses[-1] < least:
             break
     else:
-        raise RuntimeError(f"ranks did not settle within {max_iterations} rounds")
-    left = reduce(DataFrame.unionByName, rounds).groupBy("name").agg((F.sum("y") / sum(masses)).alias("rank"))
-    ranks = materialize(nodes.join(left, "name", "left").fillna(0.0, ["rank"]), "ranks")
-    for t in (known, steps, *rounds):
+        raise RuntimeError(f"ranks did not settle within {most} rounds")
+    left = materialize(reduce(DataFrame.unionByName, rounds).groupBy(*keys, "name").agg(F.sum("y").alias("y")), "left")
+    for t in (steps, *rounds):
         release(t)
-    return ranks
+    return left, sum(masses)
 
 
 def spectral(nodes: DataFrame, edges: DataFrame, dims: int = 16, exact_nodes: int = 2_000, rounds: int = 1_000, seed: int = 1, tol: float = 1e-6) -> DataFrame:

@@ -12,6 +12,7 @@ from marginalia.functions.links import target_set
 from marginalia.functions.text import bucket, bullet_lines, headline, in_directory, section_bullets, with_section
 from marginalia.operators.graph import link_pairs
 from marginalia.operators.temporal import resolve
+from marginalia.sources.connectors import Model
 from marginalia.sources.stores import Patch
 
 # The section kept up to date, days a report looks back, days and notes a brief looks at.
@@ -48,8 +49,8 @@ def activity_blocks(touched: DataFrame) -> DataFrame:
 
 def patches(notes: DataFrame, blocks: DataFrame) -> list[Patch]:
     """The changed files; one row per touched entity reaches the driver, which writes them anyway."""
-    joined = notes.join(blocks.withColumnRenamed("entity", "name"), "name").select("rel_path", "raw_text", with_section(F.col("raw_text"), SECTION, F.col("block")).alias("after"))
-    return [Patch(r["rel_path"], r["raw_text"], r["after"]) for r in joined.where("raw_text <> after").orderBy("rel_path").toLocalIterator()]
+    joined = notes.join(blocks.withColumnRenamed("entity", "name"), "name").select("rel_path", "raw_text", with_section(F.col("raw_text"), SECTION, F.col("block")).alias("after"), "block")
+    return [Patch(r["rel_path"], r["raw_text"], r["after"], block=r["block"]) for r in joined.where("raw_text <> after").orderBy("rel_path").toLocalIterator()]
 
 
 def signal_files(notes: DataFrame) -> DataFrame:
@@ -94,3 +95,27 @@ def newest_per_entity(touched: DataFrame) -> DataFrame:
     """The latest session of each entity, without gathering its others."""
     order = Window.partitionBy("entity").orderBy(F.desc("day"), F.desc("session"))
     return touched.withColumn("r", F.row_number().over(order)).where("r = 1").select("entity", "day", "session")
+
+
+def reflect(lines: DataFrame, model: Model | None = None) -> str:
+    """What the signals say, bucket by bucket; with a model, its themes. All lines of the learning layer pass through."""
+    rows = [(r["bucket"], r["line"]) for r in bucketed(lines).orderBy("bucket", "rel_path", "pos").toLocalIterator()]
+    if model and rows:
+        return model("Name three to five themes in these observations, as short headings with bullets and nothing else.\n" + "\n".join(x for _, x in rows)).strip()
+    out: list[str] = []
+    for name, line in rows:
+        out += ([] if f"### {name}" in out else [f"### {name}"]) + [line]
+    return "\n".join(out) or "(no signals)"
+
+
+def report(sessions: DataFrame, planned: Sequence[Patch], touched: DataFrame, lines: DataFrame, stamp: str, days: int = WINDOW, model: Model | None = None) -> str:
+    """The consolidation report of a window: reflection, then each entity's patch with the sessions it rests on."""
+    by_entity: dict[str, list[str]] = {}
+    for r in touched.select("entity", "session").orderBy("entity", "session").toLocalIterator():
+        by_entity.setdefault(r["entity"], []).append(r["session"])
+    files = lines.select("rel_path").distinct().count()
+    out = [f"# Consolidation {stamp}", "", f"- the last {days} days: {sessions.count()} sessions, {len(planned)} patches, {files} signal files", f"- reflection: {'a model' if model else 'by keywords'}", "", "## Reflection", reflect(lines, model), "", "## Patches"]
+    for p in planned:
+        name = p.rel_path.rsplit("/", 1)[-1].removesuffix(".md")
+        out += [f"### {p.rel_path}", "from " + ", ".join(f"[[{x}]]" for x in by_entity.get(name, [])), "```markdown", p.block or "", "```"]
+    return "\n".join(out if planned else [*out, "(none)"]) + "\n"

@@ -1,21 +1,25 @@
-"""Role bundles (I17, I18, C12-C14): what a persona needs to start work on an entity, fenced as reference material."""
+"""Role bundles (I17, I18, C12-C14, L2.14): what a persona needs to start work on an entity, fenced as reference material."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.fold import fold_text
-from marginalia.functions.text import entity_name, section_bullets
+from marginalia.functions.text import distilled, entity_name, section_bullets
 from marginalia.operators.index import revision, source_map
 from marginalia.operators.temporal import resolve
-from marginalia.plans.consolidate import domain_signals, signal_lines
-from marginalia.sources.stores import HydrationError
+from marginalia.plans.consolidate import domain_signals, signal_files, signal_lines
+from marginalia.sources.stores import HydrationError, read_persona
 
 # Frontmatter that may cross into a bundle; headers of the sections read; sizes.
 CHARTER = ["role", "reports_to", "model", "status", "parent_project"]
+IDENTITY = ["identity", "mission", "role", "core", "values", "voice", "critical rules"]
 RED_LINES = ["critical rules", "red lines", "red-lines", "non-negotiable", "non-negotiables"]
 THREADS, GUARDRAILS = ["open thread", "recent activity"], ["guardrail", "locked decision"]
 SIGNALS, BUDGET = 12, 6000
@@ -31,28 +35,43 @@ class Bundle:
     threads: list[str] = field(default_factory=list)
     signals: list[str] = field(default_factory=list)
     rev: str = ""
-    truncated: bool = False
+    domain: str | None = None
+    identity: str = ""
+    persona_source: str = "none"
+    as_of: date | None = None
+    provenance: dict[str, str] = field(default_factory=dict)
+    nonce: str = ""
+    truncated: dict[str, int] = field(default_factory=dict)
 
     def prefix(self) -> str:
         """The part that is never trimmed."""
-        lines = [f"# {self.entity}", *[f"{k}: {v}" for k, v in sorted(self.charter.items())], *[f"! {x}" for x in self.red_lines], *[f"- {x}" for x in self.guardrails]]
+        lines = [f"# {self.entity}" + (f", {self.domain}" if self.domain else ""), *([self.identity] if self.identity else [])]
+        lines += [*[f"{k}: {v}" for k, v in sorted(self.charter.items())], *[f"! {x}" for x in self.red_lines], *[f"- {x}" for x in self.guardrails]]
         return "\n".join(lines)
 
+    def memory(self, threads: Sequence[str], signals: Sequence[str]) -> str:
+        """Remembered lines between two marks that hold a hash of the vault's signals, which no line of them can foresee."""
+        return "\n".join([FENCE, f"[begin {self.nonce}]", *[f"- {x}" for x in threads], *[f"- {x}" for x in signals], f"[end {self.nonce}]"])
+
     def to_text(self, budget: int = BUDGET) -> str:
         """Memory fenced off under the prefix; past the budget signals go first, from the end, then threads."""
         threads, signals = list(self.threads), list(self.signals)
         while True:
-            body = "\n".join([self.prefix(), FENCE, *[f"- {x}" for x in threads], *[f"- {x}" for x in signals], "[end]"])
+            body = f"{self.prefix()}\n{self.memory(threads, signals)}"
             if len(body) <= budget or not (threads or signals):
                 return body
-            self.truncated = True
+            kind = "signals" if signals else "threads"
+            self.truncated[kind] = self.truncated.get(kind, 0) + 1
             (signals or threads).pop()
 
+    def manifest(self) -> dict:
+        """L2.14: what went in and from where."""
+        sizes = {k: len(getattr(self, k)) for k in ("red_lines", "guardrails", "threads", "signals")}
+        return sizes | {"entity": self.entity, "domain": self.domain, "persona": self.persona_source, "as_of": self.as_of.isoformat() if self.as_of else None, "rev": self.rev, "charter": sorted(self.charter), "truncated": dict(self.truncated), "provenance": dict(self.provenance)}
+
 
 def _safe(texts: list[str]) -> list[str]:
     """B19, B20 over the bundle's few lines."""
-    import re
-
     from marginalia.functions.text import MARK, ROLE_WORDS, TAG_WORDS
 
     out = []
@@ -64,31 +83,51 @@ def _safe(texts: list[str]) -> list[str]:
     return out
 
 
-def hydrate(notes: DataFrame, entity: str, domain: str | None = None, persona: str | None = None, most_signals: int = SIGNALS) -> Bundle:
-    """I17. ``notes`` has one row per name. The entity is moved on to its current version; a version with a successor, or an
-    unknown name, is refused. Only listed frontmatter crosses over, and remembered lines are folded and neutralised."""
+def hydrate(notes: DataFrame, entity: str, domain: str | None = None, persona: str | None = None, most_signals: int = SIGNALS, as_of: date | None = None, folders: Sequence[str] = ()) -> Bundle:
+    """I17. ``notes`` has one row per name. The entity is moved on to its current version (to the one valid ``as_of`` a day); a
+    version with a successor, an unknown or an empty name is refused. Only listed frontmatter crosses over, and remembered
+    lines are folded and neutralised.
+
+    The persona is a text, or is read by the entity's bare name from ``folders``, which must then hold it; without either the
+    bundle has no identity. Every item's source stands in ``provenance``. The same vault gives the same bundle.
+    """
+    if not entity or not entity.strip():
+        raise HydrationError("no entity is named")
     spark = notes.sparkSession
-    name = spark.range(1).select(entity_name(F.lit(entity)).alias("name"))
-    current = resolve(notes, name).first()["current"]
+    bare = re.sub("^entity-", "", entity.strip()).lower()
+    source = "given" if persona is not None else "none"
+    if persona is None and folders:
+        persona, source = read_persona(bare, *folders), "folder"
+    said = F.lit(persona or "")
+    name = spark.range(1).select(entity_name(F.lit(entity)).alias("name"), distilled(said, IDENTITY).alias("identity"), section_bullets(said, RED_LINES, r"^(?:\d+\.|[-*])\s+").alias("red"))
+    told = name.first()
+    current = resolve(notes, name, F.lit(as_of.isoformat()).cast("date") if as_of else None).first()["current"]
     if current is None:
         raise HydrationError(f"no entity {entity}")
-    row = notes.where(F.col("name") == current).select("metadata", "superseded_by", "content", section_bullets(F.col("content"), THREADS).alias("t"), section_bullets(F.col("content"), GUARDRAILS).alias("g")).first()
-    if row["superseded_by"]:
+    shown = notes.where(F.col("name") == current)
+    row = shown.select("rel_path", "metadata", "superseded_by", "valid_from", "date", section_bullets(F.col("content"), THREADS).alias("t"), section_bullets(F.col("content"), GUARDRAILS).alias("g")).first()
+    if row["superseded_by"] and as_of is None:
         raise HydrationError(f"{current} is superseded")
     meta = row["metadata"] or {}
-    signals = [r["line"][2:] for r in domain_signals(signal_lines(notes), domain, most_signals).collect()] if domain else []
-    red = spark.range(1).select(section_bullets(F.lit(persona or ""), RED_LINES, r"^(?:\d+\.|[-*])\s+").alias("r")).first()["r"]
-    rev = revision(source_map(notes)).first()["rev"]
-    return Bundle(current, {k: meta[k] for k in CHARTER if meta.get(k)}, red, _safe(row["g"]), _safe(row["t"]), _safe(signals), rev)
+    signals = [(r["line"][2:], r["rel_path"]) for r in domain_signals(signal_lines(notes), domain, most_signals).collect()] if domain else []
+    rev = revision(source_map(signal_files(notes))).first()
+    rev = rev["rev"] if rev else ""
+    origin = f"{row['rel_path']} {row['valid_from'] or row['date'] or ''}".rstrip()
+    provenance = {"charter": origin} | ({"identity": f"persona {bare} ({source})"} if persona else {})
+    provenance |= {f"thread {i}": origin for i in range(len(row["t"]))} | {f"signal {i}": path for i, (_, path) in enumerate(signals)}
+    return Bundle(
+        current, {k: meta[k] for k in CHARTER if meta.get(k)}, told["red"], _safe(row["g"]), _safe(row["t"]), _safe([x for x, _ in signals]), rev,
+        domain, told["identity"], source, as_of, provenance, f"{bare}-{domain or 'any'}-{rev}",
+    )
 
 
 def bundle_faults(bundle: Bundle, banned: list[str] | None = None) -> list[str]:
     """What is wrong with a bundle: empty charter, keys that may not cross, raw role words in memory, banned terms."""
-    import re
-
     faults = [] if bundle.charter else ["empty charter"]
     faults += [f"charter holds {k}" for k in bundle.charter if k not in CHARTER]
     memory = "\n".join([*bundle.threads, *bundle.signals])
+    if bundle.nonce and bundle.nonce in memory:
+        faults.append("memory holds its own fence")
     if re.search(r"(?i)(?<![\w-])(system|assistant|user|developer|tool)[\s*_`~]*:", memory):
         faults.append("memory holds a role word")
     return faults + [f"memory holds {b}" for b in banned or [] if b in memory]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +80,38 @@ def counts(planned: DataFrame, samples: int = 10) -> DataFrame:
     n = planned.groupBy("rule", "action").agg(F.count("*").alias("n"))
     listed = top.groupBy("rule", "action").agg(F.array_join(F.sort_array(F.collect_list("rel_path")), ",").alias("samples"))
     return n.alias("a").join(listed.alias("b"), F.col("a.rule").eqNullSafe(F.col("b.rule")) & (F.col("a.action") == F.col("b.action"))).select("a.rule", "a.action", "n", "samples")
+
+
+def write(files: DataFrame, planned: DataFrame, root: str) -> dict[str, int]:
+    """The planned files as notes under a new folder; ``rule: number`` of what was written.
+
+    Frontmatter is rewritten: name, type, the day, an open end, ``current``, where it came from, and tags and source if there
+    were any; bodies stay as they are. A folder that exists and is not empty is refused, and so are two files for one target,
+    before anything is written. Files pass through the driver one at a time.
+    """
+    import yaml
+
+    from marginalia.sources.verbs import Vault
+
+    folder = Path(root)
+    if folder.exists() and any(folder.iterdir()):
+        raise FileExistsError(f"{root} is not empty")
+    chosen = planned.where("action = 'write'")
+    clash = chosen.groupBy("target").agg(F.count("*").alias("n"), F.min("rel_path").alias("one"), F.max("rel_path").alias("other")).where("n > 1").orderBy("target").limit(20).collect()
+    if clash:
+        raise ValueError("one target for several files: " + "; ".join(f"{r['target']} from {r['one']}, {r['other']}" for r in clash))
+    folder.mkdir(parents=True, exist_ok=True)
+    vault, written = Vault(root), {}
+    for r in chosen.join(files.select("rel_path", "metadata", "content"), "rel_path").toLocalIterator(prefetchPartitions=True):
+        meta = r["metadata"] or {}
+        front = {"name": Path(r["target"]).stem, "type": r["kind"], "valid_from": r["valid_from"], "valid_until": None, "status": "current", "origin_path": r["origin"]}
+        front |= {k: meta[old] for k, old in (("tags", "tags"), ("origin_source", "source")) if meta.get(old)}
+        vault.write_text(r["target"], f"---\n{yaml.safe_dump(front, sort_keys=False, allow_unicode=True)}---\n{r['content'] or ''}\n")
+        written[r["rule"]] = written.get(r["rule"], 0) + 1
+    return written
+
+
+def report(planned: DataFrame) -> str:
+    """L2.19: counts per rule and action, with the first paths of each."""
+    rows = counts(planned).orderBy("action", "rule").collect()  # a row per rule and action
+    return "\n".join(f"{r['action']:9} {r['rule'] or '(no rule)'}: {r['n']}" + "".join(f"\n    {x}" for x in (r["samples"] or "").split(",") if r["action"] in ("unmatched", "skip")) for r in rows)

@@ -34,19 +34,25 @@ def keyword_hits(probes: DataFrame, notes: DataFrame, k: int = 8) -> DataFrame:
     return points.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def judge(probes: DataFrame, hits: DataFrame) -> DataFrame:
+def judge(probes: DataFrame, hits: DataFrame, abstained: DataFrame | None = None) -> DataFrame:
     """``id, category, n_retrieved, abstained, hit, recall, rr, passed`` per probe from ``hits(id, name, score,
-    rank)``. Abstains without a hit of :data:`CONFIDENT`; an abstention probe passes if it does, others on any hit."""
+    rank)``. ``abstained(id)`` names the probes the retriever abstained from; without it those without a hit of
+    :data:`CONFIDENT` are. An abstention probe passes if it is abstained from, others on any hit. ``hits`` is read twice: pass
+    a table that is kept."""
     got = hits.groupBy("id").agg(F.count("*").alias("n_retrieved"), F.max("score").alias("best"))
     gold = probes.select("id", F.explode("gold").alias("name")).distinct()
     found = gold.join(hits, ["id", "name"]).groupBy("id").agg(F.count("*").alias("n_found"), F.min("rank").alias("first"))
     rows = probes.join(got, "id", "left").join(found, "id", "left")
-    abstained = F.coalesce(F.col("best") < CONFIDENT, F.lit(True))
+    if abstained is None:
+        silent = F.coalesce(F.col("best") < CONFIDENT, F.lit(True))
+    else:
+        rows = rows.join(abstained.select("id").distinct().withColumn("silent", F.lit(True)), "id", "left")
+        silent = F.coalesce("silent", F.lit(False))
     n_gold = F.size(F.array_distinct("gold"))
     hit = F.coalesce(F.col("n_found") > 0, F.lit(False))
-    passed = F.when(F.col("category") == "abstention", abstained).otherwise(hit)
+    passed = F.when(F.col("category") == "abstention", silent).otherwise(hit)
     return rows.select(
-        "id", "category", F.coalesce("n_retrieved", F.lit(0)).cast("bigint").alias("n_retrieved"), abstained.alias("abstained"), hit.alias("hit"),
+        "id", "category", F.coalesce("n_retrieved", F.lit(0)).cast("bigint").alias("n_retrieved"), silent.alias("abstained"), hit.alias("hit"),
         F.when(n_gold > 0, F.coalesce("n_found", F.lit(0)) / n_gold).otherwise(0.0).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), passed.alias("passed"),
     )
 

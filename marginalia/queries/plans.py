@@ -9,7 +9,7 @@ from marginalia.functions.links import target_set
 from marginalia.functions.text import BUCKETS, NAME_STOP_WORDS
 from marginalia.operators import bookkeeping, graph
 from marginalia.operators.vault_state import by_name, current_notes
-from marginalia.plans import build, consolidate, doctor, gate, migrate, recall, scores
+from marginalia.plans import bench, build, consolidate, doctor, gate, migrate, recall, scores
 from marginalia.queries.general import _TARGET, _day
 from marginalia.queries.tables import table, vault_log
 from marginalia.queries.vault import RULES, TODAY, WINDOW
@@ -118,6 +118,15 @@ def retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("category", "n", *[F.round(c, 6).alias(c) for c in ("hit_rate", "recall", "mrr", "pass_rate", "false_abstain")])
 
 
+def walk_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What the boot walk finds for the entity of every note whose id is divisible by 100, and for the starter notes' entities."""
+    notes = materialize(_notes(spark, d), "notes")
+    one = materialize(by_name(notes), "named")
+    probes = one.where(F.col("name").startswith("entity-") & ((F.col("note_id") % 100 == 0) | (F.col("note_id") < 0)))
+    probes = materialize(probes.select(F.col("name").alias("id"), F.concat(F.lit("where is "), F.regexp_replace("name", "-", " "), F.lit(" kept")).alias("query")), "probes")
+    return bench.walk_hits(probes, one, graph.link_edges(notes, self_loops=True))[0].select("id", "name", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def unknown_gold(spark: SparkSession, d: str) -> DataFrame:
     """A probe per session that asks for what the session touches: the names among it that no note has."""
     notes = by_name(_notes(spark, d))
@@ -162,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         kind_counts, vault_layout, doctor_checks, session_window, touched_entities, consolidation_blocks, newest_sessions, signal_lines,
-        reflect_buckets, domain_signals, brief_threads, brief_signals, keyword_hits, retrieval_scores, unknown_gold, migration_plan, migration_counts,
+        reflect_buckets, domain_signals, brief_threads, brief_signals, keyword_hits, retrieval_scores, walk_scores, unknown_gold, migration_plan, migration_counts,
         write_advice, boot_ranking, recall_fused,
     )
 }
@@ -287,6 +296,25 @@ words AS (""", 1) + "," + PROPOSED + """SELECT note_id::VARCHAR AS new_id, coale
 FROM written LEFT JOIN proposed p ON p.new_id = note_id LEFT JOIN summed s ON s.new_id = note_id""",
     "boot_ranking": ranks("SELECT DISTINCT f.node AS name FROM ends f", _BOOT) + """SELECT name, round(rank, 9) AS score FROM ranked JOIN named USING (name)
 WHERE coalesce(superseded_by, '') = '' AND rank > 0 ORDER BY round(rank, 12) DESC, rel_path LIMIT 8""",
+    "walk_scores": LINKS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+bases AS (SELECT name, regexp_replace(lower(name), '^entity-', '') AS base FROM named WHERE NOT regexp_matches(lower(name), '^(session-|signals-)')),
+keys AS (SELECT DISTINCT name, trim(regexp_replace(key, '[^a-z0-9'']+', ' ', 'g')) AS key FROM (
+  SELECT name, base AS key FROM bases UNION ALL
+  SELECT name, unnest(list_filter(regexp_split_to_array(base, '[-_\\s/]+'), lambda x: length(x) >= 3 AND x NOT IN {_in(NAME_STOP_WORDS)})) FROM bases)),
+probes AS (SELECT name AS id, 'where is ' || replace(name, '-', ' ') || ' kept' AS query FROM named WHERE starts_with(name, 'entity-') AND (note_id % 100 = 0 OR note_id < 0)),
+said AS (SELECT DISTINCT id, name FROM probes JOIN keys ON key <> '' AND contains(' ' || trim(regexp_replace(lower(query), '[^a-z0-9'']+', ' ', 'g')) || ' ', ' ' || key || ' ')),
+step AS (SELECT name AS node, {_TARGET.format('superseded_by')} AS next FROM named),
+walk(start, node, path) AS (SELECT DISTINCT name, name, [name] FROM said
+  UNION ALL SELECT w.start, n.node, list_append(w.path, n.node) FROM walk w JOIN step s ON s.node = w.node JOIN step n ON n.node = s.next WHERE NOT list_contains(w.path, n.node)),
+ends AS (SELECT start, arg_max(node, len(path)) AS node FROM walk GROUP BY start),
+seeds AS (SELECT DISTINCT id, node AS name FROM said JOIN ends ON start = said.name),
+ways AS MATERIALIZED (SELECT src, dst, 0.85::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM edges WHERE src IN (SELECT name FROM named)),
+flow(k, id, name, y) AS (SELECT 0, id, name, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) FROM seeds
+  UNION ALL SELECT f.k + 1, f.id, w.dst, sum(f.y * w.share) FROM flow f JOIN ways w ON w.src = f.name
+  WHERE f.k = 0 OR (SELECT sum(y) FROM flow) >= 1e-6 * (SELECT count(*) FROM named) GROUP BY f.k + 1, f.id, w.dst),
+ranked AS (SELECT id, name, sum(y) / sum(sum(y)) OVER (PARTITION BY id) AS rank FROM flow GROUP BY id, name)
+SELECT id, name, round(rank, 9) AS score, row_number() OVER (PARTITION BY id ORDER BY round(rank, 12) DESC, rel_path) AS rank
+FROM ranked JOIN named USING (name) WHERE coalesce(superseded_by, '') = '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(rank, 12) DESC, rel_path) <= 8""",
     "migration_plan": _MIGRATED + "SELECT rel_path, rule, action, target, kind, valid_from, origin FROM planned",
     "migration_counts": _MIGRATED + "SELECT rule, action, count(*) AS n FROM planned GROUP BY rule, action",
 }

@@ -53,6 +53,8 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marginalia-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)  # what is still read lazily goes with the session
     out = spark.read.schema(df.schema).parquet(path)
     out._marginalia_path = path
     return out

@@ -11,6 +11,7 @@ import os
 import re
 import shutil
 import uuid
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -19,6 +20,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.operators.lanes import LaneRules
+from marginalia.sources.remote import RemotePath
 from marginalia.sources.verbs import Vault
 
 #: Tables of the index that are derived from the vault, and the one that is not.
@@ -39,9 +41,18 @@ def vault_id(vault: Vault) -> str:
     return hashlib.sha256(str(vault.root).encode()).hexdigest()[:16]
 
 
-def index_folder(vault: Vault, base: str | None = None) -> Path:
-    """A vault's own folder under ``base``, ``$MARGINALIA_INDEX`` or the user's cache; never inside the vault."""
-    root = Path(base or os.environ.get("MARGINALIA_INDEX") or Path.home() / ".cache" / "marginalia").expanduser().resolve()
+def index_folder(vault: Vault, base: str | None = None) -> Path | RemotePath:
+    """A vault's own folder under ``base``, ``$MARGINALIA_INDEX``, or a folder of the session's ``spark.checkpoint.dir``; a
+    session on one machine without that setting may use the user's cache. URIs go through Spark's file systems. Never inside
+    the vault."""
+    spark = SparkSession.getActiveSession()
+    shared = spark.conf.get("spark.checkpoint.dir", None) if spark else None
+    chosen = base or os.environ.get("MARGINALIA_INDEX") or (f"{shared.rstrip('/')}/marginalia-index" if shared else None)
+    if chosen is None and spark is not None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder all executors share: $MARGINALIA_INDEX or spark.checkpoint.dir")
+    if chosen and "://" in str(chosen) and not str(chosen).startswith("file://"):
+        return RemotePath(str(chosen)) / vault_id(vault)
+    root = Path(str(chosen or Path.home() / ".cache" / "marginalia").removeprefix("file://")).expanduser().resolve()
     folder = root / vault_id(vault)
     if folder == vault.root or vault.root in folder.parents:
         raise ValueError("the index must lie outside the vault")
@@ -52,7 +63,9 @@ def clear_index(folder: Path, everything: bool = False) -> None:
     """Delete what is derived; the log too if asked."""
     for name in (*DERIVED, *([LOG] if everything else [])):
         target = folder / name
-        if target.is_dir():
+        if isinstance(target, RemotePath):
+            target.remove()
+        elif target.is_dir():
             shutil.rmtree(target)
         elif target.exists():
             target.unlink()
@@ -108,10 +121,14 @@ def complete_intent(path: Path) -> None:
 
 
 def read_intents(spark: SparkSession, folder: Path) -> DataFrame:
-    """All records; files that are no record give a row of nulls, which is dropped."""
+    """All records. Files that are no record are left out, with a warning that names them."""
     if not (folder / "intents").is_dir():
         return spark.createDataFrame([], INTENT_SCHEMA)
-    return spark.read.schema(INTENT_SCHEMA).json(str(folder / "intents"), multiLine=True).where("intent_id is not null")
+    rows = spark.read.schema(INTENT_SCHEMA).json(str(folder / "intents"), multiLine=True)
+    broken = [r[0] for r in rows.where("intent_id is null").select("_metadata.file_name").distinct().collect()]
+    if broken:
+        warnings.warn(f"no intent record: {', '.join(sorted(broken))}", stacklevel=2)
+    return rows.where("intent_id is not null")
 
 
 def lane_rules(path: str) -> LaneRules:
@@ -167,6 +184,10 @@ class HydrationError(RuntimeError):
     """A bundle cannot be put together."""
 
 
+class DreamError(RuntimeError):
+    """A brief cannot be written."""
+
+
 def read_persona(name: str, *folders: str) -> str:
     """A persona's text from the first folder that has it; the name must be one plain token."""
     if not re.fullmatch(r"[a-z0-9_-]+", name):
@@ -186,10 +207,11 @@ class Patch:
     before: str | None
     after: str
     backup: str | None = field(default=None)
+    block: str | None = field(default=None)
 
 
-def apply_patches(vault: Vault, folder: Path, patches: Sequence[Patch], stamp: str) -> Path:
-    """A journalled batch: record, backups, writes, completion. A run that dies leaves the record pending, with the
+def apply_patches(vault: Vault, folder: Path, patches: Sequence[Patch], stamp: str, report: str | None = None) -> Path:
+    """A journalled batch: record, backups, writes, completion, and the report beside the backups. A run that dies leaves the record pending, with the
     hashes that tell which files it reached. Files changed since they were read stop the batch before anything is written."""
     for p in patches:
         now = vault.read_text(p.rel_path) if vault.exists(p.rel_path) else None
@@ -204,17 +226,26 @@ def apply_patches(vault: Vault, folder: Path, patches: Sequence[Patch], stamp: s
     for p in patches:
         vault.write_text(p.rel_path, p.after)
     complete_intent(intent)
+    if report is not None:
+        vault.write_text(f"_archive/consolidation-{stamp}.md", report)
     return intent
 
 
 def write_report(folder: Path, kind: str, day: str, text: str) -> Path:
-    """A report beside the index, one per kind and day."""
+    """A report beside the index, one per kind and day."""
     path = folder / kind / f"{kind.rstrip('s')}-{day}.md"
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text, encoding="utf-8")
     return path
 
 
+def append_report(path: Path, text: str) -> None:
+    """Add a section to a report, after what is there."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    before = path.read_text(encoding="utf-8").rstrip("\n") + "\n\n" if path.exists() else ""
+    path.write_text(before + text.rstrip("\n") + "\n", encoding="utf-8")
+
+
 def sample_note(vault: Vault, rel: str = "sessions/session-2026-01-05-sample.md") -> str:
     """A small valid note to try things on."""
     return vault.create(rel, "---\ntype: session\ndate: 2026-01-05\ntouches:\n  - '[[entity-Sample]]'\n---\n# Sample session\n\n- decided: keep the sample short\n")

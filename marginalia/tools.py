@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from typing import TextIO
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,8 @@ def tools(spark: SparkSession, vault: Vault, rules: LaneRules | None = None, rea
     write_gate = _on("MARGINALIA_WRITE_GATE") if write_gate is None else write_gate
 
     def bundle(entity: str, domain: str | None = None) -> str:
-        return hydrate.hydrate(by_name(load(spark, str(vault.root))[0]), entity, domain).to_text()
+        folders = [f for f in os.environ.get("MARGINALIA_PERSONAS", "").split(os.pathsep) if f]
+        return hydrate.hydrate(by_name(load(spark, str(vault.root))[0]), entity, domain, folders=folders).to_text()
 
     def recalled(query: str, lane: str = "operational", k: int = 8) -> str:
         return ask(spark, vault, query, lane, rules, k, log=not readonly).to_text()
@@ -55,3 +58,27 @@ def tools(spark: SparkSession, vault: Vault, rules: LaneRules | None = None, rea
         return run
 
     return table | {"create": gated(vault.create), "str_replace": gated(vault.str_replace), "insert": gated(vault.insert), "delete": vault.delete}
+
+
+def serve(table: Mapping[str, Callable[..., str]], lines: Iterable[str], out: TextIO) -> None:
+    """A tool server over a pair of streams: a JSON-RPC request a line in, an answer a line out. ``tools/list`` names the tools,
+    ``tools/call`` runs one (``name, arguments``); a tool that fails is an answer with its error, not the server's end."""
+    for line in filter(None, map(str.strip, lines)):
+        answer: dict = {"jsonrpc": "2.0", "id": None}
+        try:
+            request = json.loads(line)
+            answer["id"], params = request.get("id"), request.get("params") or {}
+            if request["method"] == "tools/list":
+                answer["result"] = {"tools": [{"name": n, "description": (f.__doc__ or "").strip()} for n, f in sorted(table.items())]}
+            elif request["method"] == "tools/call":
+                given = params.get("arguments") or {}
+                run = table[params["name"]]
+                text = run(**given) if isinstance(given, dict) else run(*given)
+                answer["result"] = {"content": [{"type": "text", "text": text}]}
+            else:
+                answer["error"] = {"code": -32601, "message": f"no method {request['method']}"}
+        except Exception as e:  # noqa: BLE001 - the server outlives a request
+            answer["error"] = {"code": -32000, "message": f"{type(e).__name__}: {e}"}
+        if answer["id"] is not None or "error" in answer:
+            out.write(json.dumps(answer) + "\n")
+            out.flush()
