@@ -22,7 +22,7 @@ from marginalia.operators.state import latest
 from marginalia.session import materialize
 
 #: Bits kept of each minimum; standard deviations below the threshold at which an estimate is still checked exactly.
-BITS, SLACK = 2, 3.5
+BITS, SLACK = 2, 4.0
 #: A band key of more texts than this is not paired in place but compared block by block, HOT texts to a block.
 HOT = 512
 _WORD = re.compile(r"[^\W_]+")

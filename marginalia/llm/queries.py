@@ -13,8 +13,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Three-word runs, 60 %: a pair at the threshold shares one of 36 bands of 4 minima with probability 0.993, at 70 % with 0.99995.
-VAULT = neardup.Scheme(words=3, threshold=0.6, rows=4, bands=36)
+#: Three-word runs, 60 %: a pair at the threshold shares one of 40 bands of 3 minima with probability 0.99994.
+VAULT = neardup.Scheme(words=3, threshold=0.6, rows=3, bands=40)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
