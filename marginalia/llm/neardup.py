@@ -337,7 +337,8 @@ def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
 def duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """``tbl, id, class_id, group_id, links``: each text's class of equal texts, its group of texts joined by links over
     any number of steps (the smallest key), and how many classes its own is linked with."""
-    node = lambda c: F.concat_ws(":", "tbl", c)
+    # zeros before the keys, so that the smallest text is the smallest key
+    node = lambda c: F.concat("tbl", F.lit(":"), F.format_string("%020d", c))
     edges = links.select(node("a").alias("a"), node("b").alias("b"))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     parts = connected_components(ends, edges)

@@ -119,6 +119,18 @@ wide AS (
   SELECT a, b, count, sa.c AS n_a, sb.c AS n_b, n FROM pairs JOIN single sa ON sa.name = a JOIN single sb ON sb.name = b, total)
 """
 
+_ALIKE = r"""
+WITH state AS (
+  SELECT 'notes' AS tbl, note_id AS id, arg_max_null(content, seen_at) AS text, max_by(coalesce(deleted, false), seen_at) AS gone FROM notes GROUP BY note_id
+  UNION ALL SELECT 'chunks', id, min(text), false FROM chunks GROUP BY id),
+words AS (SELECT tbl, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM state WHERE NOT gone),
+runs AS (SELECT tbl, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))) AS r FROM words WHERE len(w) >= 3),
+sizes AS (SELECT tbl, id, count(*) AS n FROM runs GROUP BY ALL),
+common AS (SELECT x.tbl, x.id AS a, y.id AS b, count(*) AS c FROM runs x JOIN runs y ON x.tbl = y.tbl AND x.r = y.r AND x.id < y.id GROUP BY ALL),
+alike AS (SELECT c.tbl, a, b FROM common c JOIN sizes s ON s.tbl = c.tbl AND s.id = a JOIN sizes t ON t.tbl = c.tbl AND t.id = b
+  WHERE c * 10 >= 6 * (s.n + t.n - c))
+"""
+
 SQL = {
     "p1_found": """
 WITH v AS (
@@ -129,16 +141,17 @@ d AS (SELECT id, CAST(e AS DOUBLE[]) AS e FROM v),
 pairs AS (SELECT x.id AS q, y.id AS o, list_cosine_similarity(x.e, y.e) AS c FROM d x JOIN d y ON x.id <> y.id),
 best AS (SELECT q, o FROM pairs WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, o) <= 5)
 SELECT DISTINCT least(q, o) AS id_a, greatest(q, o) AS id_b FROM best""",
-    "p3_found": r"""
-WITH state AS (
-  SELECT 'notes' AS tbl, note_id AS id, arg_max_null(content, seen_at) AS text, max_by(coalesce(deleted, false), seen_at) AS gone FROM notes GROUP BY note_id
-  UNION ALL SELECT 'chunks', id, min(text), false FROM chunks GROUP BY id),
-words AS (SELECT tbl, id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM state WHERE NOT gone),
-runs AS (SELECT tbl, id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])))) AS r FROM words WHERE len(w) >= 3),
-sizes AS (SELECT tbl, id, count(*) AS n FROM runs GROUP BY ALL),
-common AS (SELECT x.tbl, x.id AS a, y.id AS b, count(*) AS c FROM runs x JOIN runs y ON x.tbl = y.tbl AND x.r = y.r AND x.id < y.id GROUP BY ALL)
-SELECT c.tbl, a AS id_a, b AS id_b FROM common c JOIN sizes s ON s.tbl = c.tbl AND s.id = a JOIN sizes t ON t.tbl = c.tbl AND t.id = b
-WHERE c * 10 >= 6 * (s.n + t.n - c)""",
+    "p3_found": _ALIKE + "SELECT tbl, a AS id_a, b AS id_b FROM alike",
+    "p3_groups": _ALIKE.replace("WITH state", "WITH RECURSIVE state", 1) + """,
+sets AS (SELECT tbl, id, md5(string_agg(r, '|' ORDER BY r)) AS h FROM runs GROUP BY ALL),
+classes AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, h) AS rep FROM sets),
+links AS (SELECT x.tbl, x.a, x.b FROM alike x JOIN classes p ON p.tbl = x.tbl AND p.id = x.a JOIN classes q ON q.tbl = x.tbl AND q.id = x.b WHERE p.rep = x.a AND q.rep = x.b),
+both_ways AS (SELECT tbl, a, b FROM links UNION ALL SELECT tbl, b, a FROM links),
+reach(tbl, a, b) AS (SELECT tbl, a, b FROM both_ways UNION SELECT r.tbl, r.a, e.b FROM reach r JOIN both_ways e ON e.tbl = r.tbl AND e.a = r.b),
+parts AS (SELECT tbl, a AS id, min(b) AS g FROM reach GROUP BY ALL),
+degree AS (SELECT tbl, a AS id, count(*) AS n FROM both_ways GROUP BY ALL)
+SELECT c.tbl, c.id, c.rep AS class_id, least(c.rep, coalesce(p.g, c.rep)) AS group_id, coalesce(d.n, 0) AS links
+FROM classes c LEFT JOIN parts p ON p.tbl = c.tbl AND p.id = c.rep LEFT JOIN degree d ON d.tbl = c.tbl AND d.id = c.rep""",
     "p6_found": r"""SELECT id, CAST(max(CASE WHEN regexp_replace(text, '[^ \t\r\n]{1000}[^ \t\r\n]{1000}[^ \t\r\n]', '', '') <> text THEN 1 ELSE 0 END) AS BIGINT) AS forced_cut
 FROM (SELECT DISTINCT id, text FROM chunks) WHERE length(text) > 2000 GROUP BY id""",
     "p7_found": _NAMES + "SELECT a, b FROM wide WHERE count >= 5 AND count * n >= 8 * n_a * n_b",
