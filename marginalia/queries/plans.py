@@ -94,10 +94,10 @@ def brief_signals(spark: SparkSession, d: str) -> DataFrame:
     return _brief(spark, d)[0].select("rel_path", "name")
 
 
-def _probes(spark: SparkSession, d: str) -> DataFrame:
+def _probes(notes: DataFrame) -> DataFrame:
     """A probe per entity: what sessions touch most is asked for by its name's words; signals files are asked for nothing
     that exists, and must be abstained from."""
-    notes = by_name(_notes(spark, d)).where(F.col("name").rlike("^(entity-|signals-)"))
+    notes = notes.where(F.col("name").rlike("^(entity-|signals-)"))
     asks = F.col("name").startswith("entity-")
     query = F.when(asks, F.concat(F.lit("where is "), F.regexp_replace("name", "-", " "), F.lit(" kept"))).otherwise(F.concat(F.lit("zz"), F.substring(F.sha2("name", 256), 1, 12)))
     gold = F.when(asks, F.array("name")).otherwise(F.array().cast("array<string>"))
@@ -105,8 +105,9 @@ def _probes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    probes = _probes(spark, d)
-    return probes, scores.keyword_hits(probes, by_name(_notes(spark, d)))
+    notes = materialize(by_name(_notes(spark, d)).select("name", "raw_text"), "notes")
+    probes = _probes(notes)
+    return probes, materialize(scores.keyword_hits(probes, notes), "hits")
 
 
 def keyword_hits(spark: SparkSession, d: str) -> DataFrame:

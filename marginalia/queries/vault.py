@@ -299,7 +299,8 @@ def entity_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_notes(notes_of(spark, d, "name", "rel_path", "content", "metadata"))
+    rows = chunking.chunk_notes(notes_of(spark, d, "name", "rel_path", "content", "metadata"))
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in ("pos", "part")})
 
 
 def note_sections(spark: SparkSession, d: str) -> DataFrame:

@@ -241,6 +241,20 @@ SELECT l.note_id, coalesce((SELECT string_agg(k || '=' || v, ';' ORDER BY k) FRO
     "entity_keys": LIVE + rf""", b AS (SELECT name, regexp_replace(lower(name), '^entity-', '') AS base FROM named WHERE NOT regexp_matches(lower(name), '^(session-|signals-)'))
 SELECT DISTINCT name, key FROM (SELECT name, base AS key FROM b UNION ALL SELECT name, unnest(regexp_split_to_array(base, '[-_\s/]+')) FROM b)
 JOIN b USING (name) WHERE key = base OR (length(key) >= 3 AND key NOT IN {_in(NAME_STOP_WORDS)})""",
+    "note_chunks": LIVE + r""",
+parts AS (SELECT name, rel_path, metadata, regexp_split_to_array(regexp_replace(chr(10) || coalesce(content, ''), '\n(#{2,3}\s)', chr(1) || '\1', 'g'), chr(1)) AS a FROM live),
+flat AS (SELECT name, rel_path, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM parts),
+secs AS (
+  SELECT name, rel_path, i, CASE WHEN i = 1 THEN '_head' ELSE trim(regexp_extract(p, '^#{2,3}\s+([^\n]*)', 1), ' ') END AS section,
+    regexp_replace(CASE WHEN i = 1 THEN p ELSE regexp_replace(p, '^#{2,3}\s+[^\n]*', '') END, '^\s+|\s+$', '', 'g') AS body FROM flat
+  UNION ALL SELECT name, rel_path, 1000000, '_frontmatter',
+    coalesce((SELECT string_agg(e.key || ': ' || e.value, chr(10) ORDER BY e.key) FROM (SELECT unnest(map_entries(metadata)) AS e) WHERE e.value IS NOT NULL), '') FROM live),
+kept AS (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY i) - 1 AS pos FROM secs WHERE body <> ''),
+packed AS (SELECT *, list_reduce(list_transform(string_split(body, chr(10) || chr(10)), lambda p: [p]),
+  lambda l, p: CASE WHEN length(l[-1]) + 2 + length(p[1]) <= 2000 THEN list_append(l[:-2], l[-1] || chr(10) || chr(10) || p[1]) ELSE list_concat(l, p) END) AS l FROM kept),
+cut AS (SELECT *, flatten(list_transform(l, lambda p: list_transform(range(0, greatest(ceil(length(p) / 2000.0)::BIGINT, 1)), lambda k: substr(p, k * 2000 + 1, 2000)))) AS c FROM packed),
+pieces AS (SELECT name, rel_path, section, pos, unnest(c) AS piece, generate_subscripts(c, 1) - 1 AS part FROM cut)
+SELECT name, rel_path, section, pos, part, name || ' — ' || section || chr(10) || piece AS text FROM pieces""",
     "note_sections": LIVE + r""", p AS (SELECT note_id, regexp_split_to_array(regexp_replace(chr(10) || coalesce(content, ''), '\n(#{1,6}[ \t])', chr(1) || '\1', 'g'), chr(1)) AS parts FROM live),
 s AS (SELECT note_id, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS pos FROM p)
 SELECT note_id, pos, regexp_extract(p, '^#{1,6}[ \t]+([^\n]*)', 1) AS title, length(regexp_replace(p, '^#{1,6}[ \t]+[^\n]*\n?', '')) AS n_chars FROM s""",
