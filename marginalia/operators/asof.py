@@ -15,14 +15,19 @@ from marginalia.operators.state import latest
 from marginalia.operators.versions import entity_log, entity_members, entity_names, entity_states
 from marginalia.session import materialize
 
-#: Levels of the time tree: days 0 to 2^16 - 1 since 1970-01-01, up to the year 2149; later days are clamped.
+#: Levels of the time tree: days 0 to 2^16 - 1 since 1970-01-01, up to the year 2149. Days outside share the first or the last
+#: block; they are compared as they are.
 LEVELS = 16
 END_OF_TIME = 1 << LEVELS
 
 
 def day_number(day: Column) -> Column:
-    """Days since 1970-01-01, clamped to the tree; null for null (``least`` and ``greatest`` alone would skip it)."""
-    number = F.datediff(day, F.lit("1970-01-01").cast("date"))
+    """Days since 1970-01-01, below 0 before it; null for null."""
+    return F.datediff(day, F.lit("1970-01-01").cast("date"))
+
+
+def clamped(number: Column) -> Column:
+    """A day number within the tree; null for null (``least`` and ``greatest`` alone would skip it)."""
     return F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0)), F.lit(END_OF_TIME - 1)))
 
 
@@ -40,20 +45,21 @@ def interval_nodes(start: Column, end: Column) -> Column:
 
 
 def enclosing_nodes(day: Column) -> Column:
-    """The block of every level that holds ``day``."""
+    """The block of every level that holds ``day``, a day within the tree."""
     return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(day / F.pow(F.lit(2), k)).cast("int").alias("block")))
 
 
 def as_of(events: DataFrame, intervals: DataFrame, key: str, rank: list[str], payload: list[str]) -> DataFrame:
     """``key, day`` of ``events`` with ``payload`` of the best interval that holds the day.
 
-    ``events(key, day)``, ``intervals(key, start, end, rank..., payload...)``, days as numbers, intervals half-open. Best is
+    ``events(key, day)``, ``intervals(key, start, end, rank..., payload...)``, days as numbers, intervals half-open and within
+    the tree. Best is
     the greatest ``rank`` (compared in order, ``rank[0]`` may not exceed the event's day), which must tell intervals apart.
     Events are first reduced to distinct (key, day) and intervals to the best per (block, rank[0]): a hot key contributes
     no more than its calendar, however many rows it has. Events without a valid interval give no row.
     """
     points = events.where(F.col(key).isNotNull() & F.col("day").isNotNull()).select(key, "day").distinct()
-    spots = points.select(key, "day", F.explode(enclosing_nodes(F.col("day"))).alias("n")).select(key, "day", "n.level", "n.block")
+    spots = points.select(key, "day", F.explode(enclosing_nodes(clamped(F.col("day")))).alias("n")).select(key, "day", "n.level", "n.block")
     blocks = intervals.select(key, *{*rank, *payload}, F.explode(interval_nodes(F.col("start"), F.col("end"))).alias("n")).select("*", "n.level", "n.block")
     best = F.max(F.struct(*rank, *[c for c in payload if c not in rank])).alias("best")
     reduced = blocks.groupBy(key, "level", "block", F.col(rank[0]).alias("__r")).agg(best)
@@ -68,7 +74,7 @@ def known_intervals(log: DataFrame) -> DataFrame:
 
     Rows of one day collapse to the day's last before the window, so a hot note is bounded by its days.
     """
-    daily = latest(log.withColumn("start", day_number(F.to_date("seen_at"))), ["src", "note_id", "start"], "seen_at", ["name", "valid_from"])
+    daily = latest(log.withColumn("start", clamped(day_number(F.to_date("seen_at")))), ["src", "note_id", "start"], "seen_at", ["name", "valid_from"])
     until = F.lead("start").over(Window.partitionBy("src", "note_id").orderBy("start"))
     return daily.select("src", "note_id", "name", "start", F.coalesce(until, F.lit(END_OF_TIME)).alias("end"), day_number(written_day(F.col("valid_from"))).alias("valid"))
 

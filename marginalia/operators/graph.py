@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     are ignored); without any it restarts anywhere. Mass at nodes without a way out goes where the walk restarts, so the
     ranks are in proportion to what walks that end there leave behind: the sum over all lengths of ``(alpha P^T)^k p``.
     A round carries the mass still under way one link on, one join and one aggregation; a hub's in-edges combine before
-    the shuffle. It ends when less than ``tol`` per node is under way (RuntimeError after ``max_iterations`` rounds).
-    Every round is written to the shared folder, so lineage does not grow and lost executors cost one round.
+    the shuffle. It ends when less than ``tol`` per node is under way, looked at every :data:`ROUNDS` rounds, whose result
+    is written to the shared folder (RuntimeError after ``max_iterations`` rounds): lineage does not grow, and lost
+    executors cost a few rounds.
     """
     nodes = nodes.select("name").where("name is not null").distinct()
     n = nodes.count()
@@ -84,28 +84,40 @@ def walks(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0
     return left.join(left.groupBy("id").agg(F.sum("y").alias("all")), "id").select("id", "name", (F.col("y") / F.col("all")).alias("rank"))
 
 
+#: Rounds of a walk that one job takes.
+ROUNDS = 4
+
+
 def _left_behind(nodes: DataFrame, edges: DataFrame, start: DataFrame, keys: list[str], alpha: float, least: float, most: int) -> tuple[DataFrame, float]:
-    """(``keys, name, y``: the mass walks from ``start(keys, name, y)`` leave at each node, the sum of it all)."""
+    """(``keys, name, y``: the mass walks from ``start(keys, name, y)`` leave at each node, the sum of it all).
+
+    A row holds what is under way at a node (``y``) and what has passed it (``x``). Every node has a step to itself that only
+    adds the one to the other, so a round reads its rows once.
+    """
     known = edges.select("src", "dst").distinct().join(nodes.select(F.col("name").alias("src")), "src", "left_semi").join(nodes.select(F.col("name").alias("dst")), "dst", "left_semi")
     known = materialize(known, "edges")
     degree = known.groupBy("src").agg(F.count("*").alias("deg"))
-    steps = materialize(known.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("deg")).alias("share")), "steps")
+    ways = known.join(degree, "src").select("src", "dst", (F.lit(alpha) / F.col("deg")).alias("share"))
+    stay = nodes.select(F.col("name").alias("src"), F.col("name").alias("dst"), F.lit(None).cast("double").alias("share"))
+    steps = materialize(ways.unionByName(stay), "steps")
     release(known)
-    first, sums = materialize_with(start, "mass", under_way=F.sum("y"))
-    rounds, masses = [first], [sums["under_way"] or 0.0]
-    for _ in range(most):
-        moved = steps.join(rounds[-1].withColumnRenamed("name", "src"), "src").groupBy(*keys, F.col("dst").alias("name")).agg(F.sum(F.col("y") * F.col("share")).alias("y"))
-        moved, sums = materialize_with(moved, "mass", under_way=F.sum("y"))
-        rounds.append(moved)
-        masses.append(sums["under_way"] or 0.0)
-        if masses[-1] < least:
+    state = materialize(start.select(*keys, "name", "y", F.lit(0.0).alias("x")), "mass")
+    for _ in range(0, most, ROUNDS):
+        ahead = state
+        for _ in range(ROUNDS):
+            met = steps.join(ahead.withColumnRenamed("name", "src"), "src")
+            moved = F.when(F.col("share").isNotNull(), F.col("y") * F.col("share")).otherwise(0.0)
+            passed = F.when(F.col("share").isNull(), F.col("x") + F.col("y")).otherwise(0.0)
+            ahead = met.groupBy(*keys, F.col("dst").alias("name")).agg(F.sum(moved).alias("y"), F.sum(passed).alias("x"))
+        ahead, sums = materialize_with(ahead, "mass", under_way=F.sum("y"), all=F.sum(F.col("x") + F.col("y")))
+        release(state)
+        state = ahead
+        if (sums["under_way"] or 0.0) < least:
             break
     else:
         raise RuntimeError(f"ranks did not settle within {most} rounds")
-    left = materialize(reduce(DataFrame.unionByName, rounds).groupBy(*keys, "name").agg(F.sum("y").alias("y")), "left")
-    for t in (steps, *rounds):
-        release(t)
-    return left, sum(masses)
+    release(steps)
+    return state.select(*keys, "name", (F.col("x") + F.col("y")).alias("y")), sums["all"] or 1.0
 
 
 def spectral(nodes: DataFrame, edges: DataFrame, dims: int = 16, exact_nodes: int = 2_000, rounds: int = 1_000, seed: int = 1, tol: float = 1e-6) -> DataFrame:

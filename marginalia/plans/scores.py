@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import NAME_STOP_WORDS
+from marginalia.session import materialize
 
 #: Fixed value: the least keyword score that is evidence.
 CONFIDENT = 2.0
@@ -16,22 +17,45 @@ def unknown_gold(probes: DataFrame, notes: DataFrame) -> DataFrame:
     return probes.select("id", F.explode("gold").alias("name")).join(notes.select("name"), "name", "left_anti")
 
 
+#: Meetings of probes and notes over one word from which on the word is scored once per set of such words, not per probe.
+CROWD = 20_000
+
+
 def keyword_hits(probes: DataFrame, notes: DataFrame, k: int = 8) -> DataFrame:
     """``id, name, score, rank``: a point per distinct query word that stands in the text as a whole word, half a
-    point more if the name holds it. Texts are turned into words once and meet the queries on equal words."""
+    point more if the name holds it. Texts are turned into words once and meet the queries on equal words.
+
+    Words that many probes ask for and many notes hold would pair nearly all of them. Probes are told apart by which such words
+    they ask for, and notes are scored once for each set: a note without any other word of the probe only counts if it is
+    among the set's best ``k``, since what keeps it out of those is at least as good for the probe. Nothing is left out.
+    """
     word = F.regexp_extract_all(F.lower("query"), F.lit("([a-z0-9]{3,})"), F.lit(1))
     asked = probes.select("id", F.explode(F.array_distinct(word)).alias("word")).where(~F.col("word").isin(NAME_STOP_WORDS))
+    asked = materialize(asked, "asked")
+    wanted = asked.groupBy("word").agg(F.count("*").alias("n_probes"))
     held = notes.select("name", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("word"))
-    wanted = asked.select("word").distinct()
-    text_points = held.join(wanted, "word").groupBy("word", "name").agg(F.lit(1.0).alias("p"))
     # a word is part of a name if it is a substring of one of its runs; the substrings of a name are few, and join on equality
     runs = F.regexp_extract_all(F.lower("name"), F.lit("([a-z0-9]{3,})"), F.lit(1))
     inner = F.transform(runs, lambda r: F.flatten(F.transform(F.sequence(F.lit(3), F.length(r)), lambda n: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, n)))))
-    parts = notes.select("name").distinct().select("name", F.explode(F.array_distinct(F.flatten(inner))).alias("word"))
-    name_points = parts.join(wanted, "word").select("word", "name", F.lit(0.5).alias("p"))
-    points = asked.join(text_points.unionByName(name_points), "word").groupBy("id", "name").agg(F.sum("p").alias("score"))
+    parts = notes.select("name", F.explode(F.array_distinct(F.flatten(inner))).alias("word"))
+    either = held.select("name", "word", F.lit(1.0).alias("t"), F.lit(0.0).alias("m")).unionByName(parts.select("name", "word", F.lit(0.0).alias("t"), F.lit(0.5).alias("m")))
+    points = either.join(wanted.select("word"), "word", "left_semi").groupBy("word", "name").agg((F.max("t") + F.max("m")).alias("p"))
+    points = materialize(points, "points")
+    met = points.groupBy("word").agg(F.count("*").alias("n_notes")).join(wanted, "word")
+    crowded = materialize(met.where(F.col("n_notes") * F.col("n_probes") > CROWD).select("word"), "crowded")
+
+    light = asked.join(crowded, "word", "left_anti").join(points, "word").groupBy("id", "name").agg(F.sum("p").alias("score"))
+    common = asked.join(crowded, "word", "left_semi")
+    kinds = materialize(common.groupBy("id").agg(F.xxhash64(F.sort_array(F.collect_set("word"))).alias("kind")), "kinds")  # a query's own words
+    one = kinds.groupBy("kind").agg(F.min("id").alias("id"))
+    shared = one.join(common, "id").join(points, "word").groupBy("kind", "name").agg(F.sum("p").alias("more"))
+    shared = materialize(shared, "shared")
+    best = shared.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("more"), "name"))).where(F.col("r") <= k)
+    known = light.join(kinds, "id", "left").join(shared, ["kind", "name"], "left").select("id", "name", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    others = kinds.join(best, "kind").select("id", "name", F.col("more").alias("score"))
+    every = known.unionByName(others).groupBy("id", "name").agg(F.max("score").alias("score"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "name")
-    return points.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def judge(probes: DataFrame, hits: DataFrame, abstained: DataFrame | None = None) -> DataFrame:

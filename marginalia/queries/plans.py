@@ -312,7 +312,7 @@ seeds AS (SELECT DISTINCT id, node AS name FROM said JOIN ends ON start = said.n
 ways AS MATERIALIZED (SELECT src, dst, 0.85::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM edges WHERE src IN (SELECT name FROM named)),
 flow(k, id, name, y) AS (SELECT 0, id, name, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) FROM seeds
   UNION ALL SELECT f.k + 1, f.id, w.dst, sum(f.y * w.share) FROM flow f JOIN ways w ON w.src = f.name
-  WHERE f.k = 0 OR (SELECT sum(y) FROM flow) >= 1e-6 * (SELECT count(*) FROM named) GROUP BY f.k + 1, f.id, w.dst),
+  WHERE f.k % 4 <> 0 OR f.k = 0 OR (SELECT sum(y) FROM flow) >= 1e-6 * (SELECT count(*) FROM named) GROUP BY f.k + 1, f.id, w.dst),
 ranked AS (SELECT id, name, sum(y) / sum(sum(y)) OVER (PARTITION BY id) AS rank FROM flow GROUP BY id, name)
 SELECT id, name, round(rank, 9) AS score, row_number() OVER (PARTITION BY id ORDER BY round(rank, 12) DESC, rel_path) AS rank
 FROM ranked JOIN named USING (name) WHERE coalesce(superseded_by, '') = '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(rank, 12) DESC, rel_path) <= 8""",

@@ -72,7 +72,7 @@ def ranks(seeds: str | None, before: str = LINKS) -> str:
 ways AS MATERIALIZED (SELECT src, dst, 0.85::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM edges WHERE src IN (SELECT name FROM named)),
 flow(k, name, y) AS (SELECT 0, name, y FROM ({p}) AS p
   UNION ALL SELECT f.k + 1, w.dst, sum(f.y * w.share) FROM flow f JOIN ways w ON w.src = f.name
-  WHERE f.k = 0 OR (SELECT sum(y) FROM flow) >= 1e-6 * (SELECT count(*) FROM named) GROUP BY f.k + 1, w.dst),
+  WHERE f.k % 4 <> 0 OR f.k = 0 OR (SELECT sum(y) FROM flow) >= 1e-6 * (SELECT count(*) FROM named) GROUP BY f.k + 1, w.dst),
 ranked AS (SELECT n.name, coalesce(sum(y), 0) / (SELECT sum(y) FROM flow) AS rank FROM named n LEFT JOIN flow f ON f.name = n.name GROUP BY n.name)
 """
 

@@ -142,3 +142,10 @@ def test_as_of_precedence_and_hot_key(spark):
     intervals = spark.createDataFrame(rows, "k string, start int, end int, valid int, name string")
     got = tuples(asof.as_of(events, intervals, "k", ["valid", "name"], ["valid", "name"]), "day", "valid", "name")
     assert got == [(d, d - d % 5, "b") for d in range(50)]
+
+
+def test_days_outside_the_tree_are_compared_as_they_are(spark):
+    events = spark.createDataFrame([("k", -400), ("k", -10), ("k", 70_000), ("k", 5)], "k string, day int")
+    rows = [("k", 0, asof.END_OF_TIME, v, n) for v, n in ((-500, "z"), (-100, "a"), (-9, "b"), (69_000, "late"), (80_000, "never"))]
+    intervals = spark.createDataFrame(rows, "k string, start int, end int, valid int, name string")
+    assert tuples(asof.as_of(events, intervals, "k", ["valid", "name"], ["name"]), "day", "name") == [(-400, "z"), (-10, "a"), (5, "b"), (70_000, "late")]

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 from datetime import date
 
 import pytest
@@ -221,6 +222,21 @@ def test_bench_of_three_retrievers(spark, vault, tmp_path):
     assert (tmp_path / "r.md").read_text() == "one\n\ntwo\n"
 
 
+def test_keyword_hits_against_a_loop(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["pier", "harbor", "boat", "sail", "rope", "net", "fish", "gull", "tide", "crew"]
+    notes = [(f"{rng.choice(words)}-{rng.choice(words)}{i}", " ".join(["where", "kept", *rng.choices(words, k=rng.randint(0, 5))][rng.randint(0, 2) :])) for i in range(60)]
+    probes = [(f"p{i}", " ".join(["where", *rng.choices(words, k=rng.randint(0, 3)), "kept"][: rng.randint(1, 5)])) for i in range(40)]
+    want = []
+    for i, query in probes:
+        scored = sorted((-sum((w in text.split()) + 0.5 * (w in name) for w in set(query.split())), name) for name, text in notes)
+        want += [(i, name, -s, r) for r, (s, name) in enumerate(scored[:8], 1) if s < 0]
+    for crowd in (0, 100, 20_000):
+        monkeypatch.setattr(scores, "CROWD", crowd)
+        got = scores.keyword_hits(spark.createDataFrame(probes, "id string, query string"), spark.createDataFrame(notes, "name string, raw_text string"))
+        assert tuples(got, "id", "name", "score", "rank") == sorted(want), crowd
+
+
 def test_dream(spark, vault):
     one, folder = by_name(cli.load(spark, str(vault.root))[0]), stores.index_folder(vault)
     salience = spark.createDataFrame([("entity-Harbor", 3, "2025-03-01")], "note_name string, recall_count long, last_recalled string")
