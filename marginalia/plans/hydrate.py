@@ -19,7 +19,7 @@ from marginalia.sources.stores import HydrationError, read_persona
 
 # Frontmatter that may cross into a bundle; headers of the sections read; sizes.
 CHARTER = ["role", "reports_to", "model", "status", "parent_project"]
-IDENTITY = ["identity", "mission", "role", "core", "values", "voice", "critical rules"]
+IDENTITY = ["identity", "how i talk", "core truths", "primary mission", "critical rules", "the breed", "role"]
 RED_LINES = ["critical rules", "red lines", "red-lines", "non-negotiable", "non-negotiables"]
 THREADS, GUARDRAILS = ["open thread", "recent activity"], ["guardrail", "locked decision"]
 SIGNALS, BUDGET = 12, 6000

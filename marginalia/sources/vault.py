@@ -1,7 +1,8 @@
 """The vault source (A1-A10): markdown notes of a folder as a Python data source, one row per file.
 
 Only names that start with a dot are hidden; folders such as ``_archive`` belong to the vault. Files are listed on the
-driver, parsed on the executors in blocks of :data:`BLOCK` files, and the frontmatter is parsed only where it is asked for.
+driver, read and parsed on the executors in blocks of :data:`BLOCK` files, and the frontmatter is parsed only where it is asked
+for. A folder given as a URI (``hdfs://``, ``s3://``, ``file://`` and what else Arrow's file systems know) is read there.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 import datetime
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path, PurePosixPath
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -46,6 +48,16 @@ def note_paths(root: Path) -> list[str]:
     return sorted(p.as_posix() for p in found if not any(part.startswith(".") for part in p.parts))
 
 
+def far_paths(uri: str) -> list[str]:
+    """:func:`note_paths` of a folder given as a URI; a folder that does not exist is refused."""
+    fs, root = FileSystem.from_uri(uri)
+    root = root.rstrip("/")
+    if fs.get_file_info(root).type != FileType.Directory:
+        raise VaultPathError(f"not a folder: {uri}")
+    found = (f.path[len(root) + 1 :] for f in fs.get_file_info(FileSelector(root, recursive=True)) if f.type == FileType.File and f.path.endswith(".md"))
+    return sorted(p for p in found if not any(part.startswith(".") for part in p.split("/")))
+
+
 def split_frontmatter(text: str) -> tuple[str | None, str]:
     """(frontmatter text or None, body) of a note."""
     lines = text.split("\n")
@@ -102,19 +114,32 @@ class _Files(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.root = vault_root(options["path"])
+        self.uri = options["path"] if "://" in options["path"] else None
+        self.root = None if self.uri else vault_root(options["path"])
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.parse = options.get("parse", "true").lower() != "false"
 
     def partitions(self) -> list[_Files]:
-        paths = note_paths(self.root)
+        paths = far_paths(self.uri) if self.uri else note_paths(self.root)
         return [_Files(paths[i : i + BLOCK]) for i in range(0, len(paths), BLOCK)] or [_Files([])]
 
+    def _opened(self) -> Callable[[str], bytes]:
+        if not self.uri:
+            return lambda rel: (self.root / rel).read_bytes()
+        fs, root = FileSystem.from_uri(self.uri)
+
+        def content(rel: str) -> bytes:
+            with fs.open_input_file(f"{root.rstrip('/')}/{rel}") as f:
+                return f.read()
+
+        return content
+
     def read(self, partition: _Files) -> Iterator[tuple]:
+        content = self._opened()
         for rel in partition.paths:
             name = PurePosixPath(rel).stem
             try:
-                raw = (self.root / rel).read_text(encoding="utf-8")
+                raw = content(rel).decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
             except (OSError, UnicodeDecodeError) as e:
                 if self.strict:
                     raise ValueError(f"{rel}: {e}") from e
@@ -149,7 +174,7 @@ class VaultSource(DataSource):
 def read_vault(spark: SparkSession, path: str, mode: str = "PERMISSIVE", parse: bool = True) -> DataFrame:
     """Every note of a vault, faults as columns; FAILFAST raises at the first fault."""
     spark.dataSource.register(VaultSource)
-    return spark.read.format("notevault").option("mode", mode).option("parse", str(parse).lower()).load(str(vault_root(path)))
+    return spark.read.format("notevault").option("mode", mode).option("parse", str(parse).lower()).load(path if "://" in str(path) else str(vault_root(path)))
 
 
 def split_faults(scan: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -58,6 +58,11 @@ def test_scan(spark, vault):
     with pytest.raises(Exception, match="wiki/b"):
         read_vault(spark, str(vault.root), "FAILFAST").count()
     assert parse_note("plain") == ({}, [], "plain")
+    (vault.root / "wiki/with blank ü.md").write_text("see [[x]]\r\ny", encoding="utf-8", newline="")
+    cols = ("rel_path", "content", "raw_text", "fault_kind")
+    assert tuples(read_vault(spark, f"file://{vault.root}").na.fill("-"), *cols) == tuples(read_vault(spark, str(vault.root)).na.fill("-"), *cols)
+    with pytest.raises(Exception, match="not a folder"):
+        read_vault(spark, f"file://{vault.root}/none").count()
 
 
 def test_sandbox_and_verbs(vault):
@@ -152,7 +157,7 @@ def test_hydrate(spark, vault):
     assert bundle.nonce.startswith("harbor-harbor-") and f"[end {bundle.nonce}]" in short and bundle.nonce == hydrate.hydrate(one, "Harbor", "harbor").nonce
     assert bundle.identity == "P" and bundle.provenance["charter"] == "entities/entity-Harbor.md 2025-01-01" and bundle.provenance["signal 0"] == "LearningLayer/signals-2025-03.md"
     assert bundle.manifest()["threads"] == 2 and bundle.manifest()["persona"] == "given"
-    (vault.root.parent / "harbor.md").write_text("# Keeper\n\n## Mission\nwatch\n\n## Other\nx\n\n## Critical rules\n- no lies\n")
+    (vault.root.parent / "harbor.md").write_text("# Keeper\n\n## Primary mission\nwatch\n\n## Other\nx\n\n## Critical rules\n- no lies\n")
     told = hydrate.hydrate(one, "Harbor", folders=[str(vault.root.parent)])
     assert told.identity.startswith("Keeper") and "watch" in told.identity and "x" not in told.identity.split("\n") and told.red_lines == ["no lies"]
     assert hydrate.hydrate(one, "Pier", as_of=date(2025, 1, 20)).entity == "entity-Pier"
