@@ -69,8 +69,9 @@ def advise(written: DataFrame, notes: DataFrame, k: int = 5) -> DataFrame:
     docs = notes.select("rel_path", F.concat_ws(" ", "content", "name").alias("text"))
     counts = materialize(tfidf.term_counts(docs, "rel_path", "text"), "counts")
     terms = tfidf.idf(counts, docs.count())
-    q = tfidf.weights(tfidf.term_counts(new.select("rel_path", F.concat_ws(" ", "raw_text", "name").alias("text")), "rel_path", "text"), terms)
-    top = tfidf.most_similar(tfidf.weights(counts, terms), q, k)
+    asked = materialize(tfidf.term_counts(new.select("rel_path", F.concat_ws(" ", "raw_text", "name").alias("text")), "rel_path", "text"), "asked")
+    q = materialize(tfidf.weights(asked, terms), "queries")
+    top = tfidf.most_similar(materialize(tfidf.weights(counts, terms), "weights"), q, k)
     pairs = top.select(F.col("query").alias("own"), F.col("key").alias("rel_path"), "score")
     old = notes.select("rel_path", F.col("metadata").alias("old_meta"))
     mine = new.select(F.col("new_id").cast("string").alias("new_id"), F.col("rel_path").alias("own"), F.col("metadata").alias("new_meta"))
