@@ -242,6 +242,29 @@ def test_keyword_hits_against_a_loop(spark, monkeypatch):
         assert tuples(got, "id", "name", "score", "rank") == sorted(want), crowd
 
 
+def test_keyword_hits_keeps_no_row_per_set_and_note(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"word{i:02}" for i in range(20)]
+    notes = [(f"note{i}-{rng.choice(words)}" if i % 7 == 0 else f"note{i}", " ".join(["where", "kept", *rng.sample(words, 3)])) for i in range(300)]
+    probes = [(f"p{i}", f"where {words[i % 20]} kept note{i}") for i in range(60)]
+    monkeypatch.setattr(scores, "CROWD", 100)
+    kept, write = [], scores.materialize
+
+    def counted(df, name="t"):
+        kept.append((write(df, name), name))
+        return kept[-1][0]
+
+    monkeypatch.setattr(scores, "materialize", counted)
+    got = scores.keyword_hits(spark.createDataFrame(probes, "id string, query string"), spark.createDataFrame(notes, "name string, raw_text string"))
+    want = []
+    for i, query in probes:
+        scored = sorted((-sum((w in text.split()) + 0.5 * (w in name) for w in set(query.split())), name) for name, text in notes)
+        want += [(i, name, -s, r) for r, (s, name) in enumerate(scored[:8], 1) if s < 0]
+    assert tuples(got, "id", "name", "score", "rank") == sorted(want)
+    sizes = [(df.count(), name) for df, name in kept]
+    assert max(sizes)[0] == dict((name, n) for n, name in sizes)["points"], sizes  # twenty sets of crowded words meet 300 notes each
+
+
 def test_dream(spark, vault):
     one, folder = by_name(cli.load(spark, str(vault.root))[0]), stores.index_folder(vault)
     salience = spark.createDataFrame([("entity-Harbor", 3, "2025-03-01")], "note_name string, recall_count long, last_recalled string")
