@@ -227,6 +227,24 @@ def test_bench_of_three_retrievers(spark, vault, tmp_path):
     assert (tmp_path / "r.md").read_text() == "one\n\ntwo\n"
 
 
+def test_walks_over_a_carried_graph(spark, monkeypatch):
+    rng = random.Random(6)
+    names = [f"n{i:02}" for i in range(40)]
+    nodes = spark.createDataFrame([(x, f"{rng.random()}/{x}", i % 5 > 0) for i, x in enumerate(names)], "name string, rel_path string, shown boolean")
+    edges = spark.createDataFrame([(rng.choice(names[:35]), rng.choice(names)) for _ in range(90)] + [("n01", "gone")], "src string, dst string")
+    seeds = spark.createDataFrame([(f"p{i}", rng.choice(names), 1.0) for i in range(6) for _ in range(5)], "id string, name string, weight double")
+    shown = nodes.where("shown").select("name", "rel_path")
+
+    def top(ranks):
+        rows = sorted((r["id"], -round(r["rank"], 12), r["rel_path"], r["name"]) for r in ranks.join(shown, "name").collect())
+        return [(i, x, round(-y, 9)) for i in sorted({r[0] for r in rows}) for _, y, _, x in [r for r in rows if r[0] == i][:4]]
+
+    assert top(graph.best_walked(nodes, edges, seeds, 4)) == top(graph.walks(nodes, edges, seeds))
+    assert graph.best_walked(nodes, edges, seeds.where("false"), 4).count() == 0
+    monkeypatch.setattr(graph, "CARRIED", 10)
+    assert graph.best_walked(nodes, edges, seeds, 4) is None
+
+
 def test_keyword_hits_against_a_loop(spark, monkeypatch):
     rng = random.Random(4)
     words = ["pier", "harbor", "boat", "sail", "rope", "net", "fish", "gull", "tide", "crew"]
