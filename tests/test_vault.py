@@ -3,12 +3,15 @@
 import io
 import json
 import random
+from contextlib import nullcontext
 from datetime import date
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia import cli
+from marginalia import cli, session
 from marginalia.operators import conflict, graph, index
 from marginalia.operators.lanes import LaneRules
 from marginalia.operators.vault_state import by_name
@@ -21,6 +24,7 @@ from marginalia.sources.vault import VaultPathError, inside, note_paths, parse_n
 from marginalia.sources.verbs import Vault
 from marginalia.tools import serve
 from marginalia.streaming.retrieval import co_retrieval_stream, salience_stream
+from tests import oracle
 from tests.vaults import tuples
 
 FILES = {
@@ -283,6 +287,44 @@ def test_keyword_hits_keeps_no_row_per_set_and_note(spark, monkeypatch):
     assert max(sizes)[0] == dict((name, n) for n, name in sizes)["points"], sizes  # twenty sets of crowded words meet 300 notes each
 
 
+def _log_with_odd_rows(folder):
+    """The smallest tables with notes of long texts, and rows that repeat, clash in name, rename, delete or lack values."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE notes AS FROM '/root/testdata/sf0.001/notes.parquet'")
+    con.execute("INSERT INTO notes SELECT * REPLACE (note_id + 9000000 AS note_id, 'long-' || name AS name, raw_text || (SELECT string_agg(sha256(note_id || '-' || i), ' ') FROM range(600) t(i)) AS raw_text) FROM notes WHERE note_id % 2 = 0")
+    con.execute("INSERT INTO notes FROM notes WHERE note_id % 3 = 0")
+    rows = [
+        (None, "a/entity-Odd-One.md", "entity-Odd-One", "where entity odd one", False, "2025-01-01"), (None, "a/entity-Odd-One.md", "entity-Odd-One", "one", False, "2025-01-02"),
+        (8000001, "a/entity-Odd-Two.md", "entity-Odd-Two", "two kept", False, None), (8000002, "a/entity-Odd-Two.md", "entity-Odd-Three", "odd two", False, None), (8000002, "b/entity-Odd-Two.md", "entity-Odd-Two", None, False, "2025-01-01"),
+        (8000003, "c/entity-Odd-Two.md", "entity-Odd-Two", "odd two kept", True, "2025-01-03"), (8000004, "d/x.md", None, "entity odd two", None, "2025-01-03"), (8000005, "e/entity-Odd-Four.md", "entity-Odd-Four", "", None, "2025-01-03"),
+    ]
+    con.executemany("INSERT INTO notes (note_id, rel_path, name, raw_text, deleted, seen_at) VALUES (?, ?, ?, ?, ?, ?)", rows)
+    con.execute(f"COPY notes TO '{folder}/notes.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (FROM '/root/testdata/sf0.001/seed_notes.parquet') TO '{folder}/seed_notes.parquet' (FORMAT parquet)")
+
+
+@pytest.mark.parametrize("query", ["keyword_hits", "retrieval_scores"])
+def test_hits_keep_no_text_and_no_shuffle(spark, tmp_path, monkeypatch, query):
+    _log_with_odd_rows(tmp_path)
+    con = oracle.connect(tmp_path)
+    text = con.sql("SELECT sum(length(raw_text)) FROM notes WHERE starts_with(name, 'long-')").fetchall()[0][0]
+    folders = [str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def grown(kept):
+        """Bytes of shuffle files and of kept tables that the query leaves."""
+        kept.mkdir()
+        monkeypatch.setattr(session, "shared_folder", lambda spark: f"file://{kept}")
+        before = {p for f in folders for p in Path(f).rglob("shuffle_*")}
+        plans.QUERIES[query](spark, str(tmp_path))
+        shuffled = sum(p.stat().st_size for f in folders for p in set(Path(f).rglob("shuffle_*")) - before)
+        return shuffled, sum(p.stat().st_size for p in kept.rglob("*.parquet"))
+
+    assert oracle.same(spark, con, str(tmp_path), plans.QUERIES[query], plans.SQL[query]) >= 3
+    assert grown(tmp_path / "swept")[0] < 20_000
+    monkeypatch.setattr(plans, "swept", lambda spark: nullcontext(), raising=False)
+    assert sum(grown(tmp_path / "unswept")) < text / 4
+
+
 def test_dream(spark, vault):
     one, folder = by_name(cli.load(spark, str(vault.root))[0]), stores.index_folder(vault)
     salience = spark.createDataFrame([("entity-Harbor", 3, "2025-03-01")], "note_name string, recall_count long, last_recalled string")
